@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import blockloom
+
+# Functions that run in Python workers travel with the job: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(blockloom)
+
 # Runtime SQL settings every operator relies on. Partition counts and memory stay with the cluster.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,7 +26,7 @@ def build_session(app: str = "blockloom", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in SQL_SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
