@@ -1,4 +1,238 @@
-"""placeholder"""
+"""Landing, envelopes, block shaping, retention, tiering, archive and backup."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-def derive_block_metrics(b):
-    return b.select("block_number", F.lit("tps").alias("metric_type"), F.col("transaction_count").cast("double").alias("value"), "timestamp")
+
+from blockloom.functions.crypto import decrypt
+from blockloom.functions.scalars import age_days, cutoff, first_nonempty, first_truthy
+from blockloom.operators.validate import SOURCE_RULES
+from blockloom.schemas import TIER_POLICIES
+from blockloom.sources.files import check_zone, valid_zone
+
+ARCHIVE_AFTER_DAYS = 30
+
+
+# Shaping for the block tables
+
+
+def normalize_blocks(raw: DataFrame) -> DataFrame:
+    """Rows for the blocks table: number and hash from either chain's field, required fields
+    present, one row per hash (the one with the lowest number, then the earliest time)."""
+    shaped = raw.withColumns(
+        {
+            "block_number": first_truthy(F.col("block_height"), F.col("slot")),
+            "block_hash": first_nonempty(F.col("hash"), F.col("blockhash")),
+        }
+    ).filter("block_number is not null and block_hash is not null and timestamp is not null and transaction_count is not null")
+    rest = ["blockchain", "transaction_count"]
+    best = F.min(F.struct("block_number", "timestamp", *rest))
+    return shaped.groupBy("block_hash").agg(best.alias("b")).select("block_hash", "b.*")
+
+
+def new_blocks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Incoming blocks whose hash is not stored yet."""
+    return incoming.join(stored.select("block_hash"), "block_hash", "left_anti")
+
+
+def derive_block_metrics(blocks: DataFrame) -> DataFrame:
+    """One `tps` metric per stored block, equal to its raw transaction count."""
+    return blocks.select(
+        "block_number",
+        F.lit("tps").alias("metric_type"),
+        F.col("transaction_count").cast("double").alias("value"),
+        "timestamp",
+    )
+
+
+def metrics_in_range(metrics: DataFrame, metric_type: str, start: str, end: str) -> DataFrame:
+    """Metrics of one type with start <= timestamp <= end, in time order."""
+    between = F.col("timestamp").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    return metrics.filter((F.col("metric_type") == metric_type) & between).orderBy("timestamp")
+
+
+# Landing and envelopes
+
+
+def land_raw(records: DataFrame, source_type: str, body: str, path: str, ingest_ts: str) -> bool:
+    """Append JSON records of one source to its raw zone; false, and nothing written, when there
+    are none or one is invalid."""
+    check_zone("raw", source_type)
+    rule = SOURCE_RULES[source_type](F.col(body))
+    if records.isEmpty() or not records.filter(~rule).isEmpty():
+        return False
+    (
+        records.withColumns({"category": F.lit("raw"), "subcategory": F.lit(source_type), "ingest_ts": F.lit(ingest_ts)})
+        .write.mode("append")
+        .partitionBy("category", "subcategory", "ingest_ts")
+        .json(path)
+    )
+    return True
+
+
+def lineage_lookup(names: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Lineage records of the given stored names."""
+    return names.join(lineage, "stored_name")
+
+
+def zone_check(items: DataFrame) -> DataFrame:
+    return items.withColumn("valid", valid_zone(F.col("category"), F.col("subcategory")))
+
+
+def envelope(records: DataFrame, data_type: str, as_of: str, payload: list[str], keys: tuple[str, ...] = (), ts: Column | None = None, version: Column | None = None) -> DataFrame:
+    """Payload and metadata as JSON text; the time defaults to `as_of`, the version to 1.0."""
+    now = F.lit(as_of).cast("timestamp")
+    when = now if ts is None else F.coalesce(ts, now)
+    fixed = F.lit("1.0") if version is None else F.coalesce(version, F.lit("1.0"))
+    options = {"ignoreNullFields": "false"}
+    metadata = F.struct(
+        F.lit(data_type).alias("data_type"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("processed_at"), fixed.alias("version")
+    )
+    return records.select(
+        *keys,
+        F.to_json(F.struct(*payload), options).alias("payload"),
+        F.to_json(metadata, options).alias("metadata"),
+        when.alias("timestamp"),
+    )
+
+
+def latest_processed(processed: DataFrame, start: str, end: str, key: Column | None = None) -> DataFrame:
+    """The newest non-empty record of a time range, decrypted when a key is given."""
+    between = F.col("timestamp").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    newest = processed.filter(between).orderBy(F.desc("timestamp")).limit(1)
+    payload = F.col("payload") if key is None else decrypt(F.col("payload"), key)
+    return newest.filter("payload is not null and payload <> ''").withColumn("payload", payload)
+
+
+# Month partitions, archive and restore
+
+
+def with_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
+    return df.withColumn("month", F.date_format(ts, "yyyy_MM"))
+
+
+def write_by_month(df: DataFrame, path: str, ts: str = "timestamp") -> None:
+    """Append to month folders. Each task writes its own file, so a large month has many writers."""
+    with_month(df, ts).write.mode("append").partitionBy("month").parquet(path)
+
+
+def rows_per_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
+    return with_month(df, ts).groupBy("month").agg(F.count("*").alias("n"))
+
+
+def is_old(as_of: str, ts: str = "timestamp", days: int = ARCHIVE_AFTER_DAYS) -> Column:
+    return (F.col(ts) < cutoff(as_of, days)) & ~F.coalesce(F.col("compressed"), F.lit(False))
+
+
+def archive_plan(df: DataFrame, table: str, as_of: str, ts: str = "timestamp") -> DataFrame:
+    """What an archive run would move: range and row count."""
+    return df.filter(is_old(as_of, ts)).agg(
+        F.lit(table).alias("original_table"),
+        F.min(ts).alias("start_time"),
+        F.max(ts).alias("end_time"),
+        F.count("*").alias("n_rows"),
+    )
+
+
+def archive_write(df: DataFrame, table: str, as_of: str, archive: str, live: str, ts: str = "timestamp") -> None:
+    """Write old rows to the archive (zstd) and the table with its flags to `live`.
+
+    The source is never overwritten: `live` is a new folder the caller swaps in.
+    """
+    flagged = df.withColumn("_old", is_old(as_of, ts))
+    old = with_month(flagged.filter("_old"), ts).drop("_old", "compressed").withColumn("original_table", F.lit(table))
+    old.write.mode("append").option("compression", "zstd").partitionBy("original_table", "month").parquet(archive)
+    flagged.withColumn("compressed", F.coalesce("compressed", F.lit(False)) | F.col("_old")).drop("_old").write.mode(
+        "append"
+    ).parquet(live)
+
+
+def archive_restore(live: DataFrame, archived: DataFrame, key: str, start: str, end: str, ts: str = "timestamp") -> DataFrame:
+    """The table with the archived rows of a time range put back, none twice."""
+    between = F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    columns = live.columns
+    wanted = archived.filter(between).withColumn("compressed", F.lit(False))
+    missing = wanted.join(live.select(key), key, "left_anti").select(*columns)
+    return live.unionByName(missing)
+
+
+# Backups
+
+
+def backup_id(kind: str, at: str) -> str:
+    return f"{kind}_{at}"
+
+
+def write_backup(df: DataFrame, root: str, kind: str, at: str) -> str:
+    """A gzip JSON snapshot and its catalog row; returns the backup id."""
+    name = backup_id(kind, at)
+    df.write.option("compression", "gzip").option("ignoreNullFields", False).json(f"{root}/data/{name}")
+    row = df.sparkSession.range(1).select(
+        F.lit(name).alias("backup_id"), F.lit(kind).alias("data_type"), F.lit(at).cast("timestamp").alias("created_at")
+    )
+    row.write.mode("append").json(f"{root}/catalog")
+    return name
+
+
+def restore_backup(spark: SparkSession, roots: list[str], name: str, schema: str) -> DataFrame | None:
+    """The snapshot from the first root that holds it, None if none does."""
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(schema).json(f"{root}/data/{name}")
+    return None
+
+
+def read_catalog(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("backup_id string, data_type string, created_at timestamp").json(f"{root}/catalog")
+
+
+def list_backups(catalog: DataFrame) -> DataFrame:
+    """Newest first."""
+    return catalog.orderBy(F.desc("created_at"), "backup_id")
+
+
+def retention_plan(catalog: DataFrame, retention_days: int, as_of: str) -> DataFrame:
+    """Age of each backup in whole days and whether it is past retention."""
+    age = age_days(F.col("created_at"), as_of)
+    return catalog.withColumn("age_days", age).withColumn("expired", F.col("age_days") > retention_days)
+
+
+# Tiers
+
+
+def lifecycle_plan(items: DataFrame, as_of: str, policies=TIER_POLICIES) -> DataFrame:
+    """The policy with the longest retention an item has outlived, and what it means for the item.
+
+    Policies are a short fixed list, so they become one expression: no join, items stay in place.
+    """
+    ordered = sorted(policies, key=lambda p: -p[1])
+    age = age_days(F.col("created_at"), as_of)
+    policy, target = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, days, storage in reversed(ordered):
+        policy = F.when(F.col("age_days") > days, F.lit(name)).otherwise(policy)
+        target = F.when(F.col("age_days") > days, F.lit(storage)).otherwise(target)
+    moves = F.col("target_class").isin("archive", "s3_glacier", "delete") & (
+        F.col("target_class") != F.coalesce("storage_class", F.lit("local"))
+    )
+    return (
+        items.withColumn("age_days", age)
+        .withColumn("policy", policy)
+        .withColumn("target_class", target)
+        .withColumn("action", F.when(moves, F.col("target_class")).otherwise("none"))
+    )
+
+
+def lifecycle_apply(plan: DataFrame, path: str, as_of: str) -> None:
+    """Write items to `storage_class=` folders as planned; deleted items are left out."""
+    moved = F.col("action") != "none"
+    (
+        plan.filter("action <> 'delete'")
+        .withColumn("storage_class", F.when(moved, F.col("target_class")).otherwise(F.col("storage_class")))
+        .withColumn("moved_at", F.when(moved, F.lit(as_of).cast("timestamp")))
+        .drop("policy", "target_class", "action", "age_days")
+        .write.mode("append")
+        .partitionBy("storage_class")
+        .parquet(path)
+    )

@@ -61,7 +61,7 @@ def _(t):
     """SELECT doc_id, lang <> 'es' AS timestamp_valid, lang <> 'fr' AS blocks_valid, lang <> 'de' AS metrics_valid FROM documents""",
 )
 def _(t):
-    docs = t.chain_documents.join(t.documents.select("doc_id", "lang"), "doc_id")
+    docs = t.chain_documents
     body = F.concat(
         F.lit('{"timestamp":'),
         F.when(F.col("lang") == "es", "5").otherwise(F.concat(F.lit('"'), "timestamp", F.lit('"'))),

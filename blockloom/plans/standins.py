@@ -136,6 +136,7 @@ class Tables:
         words = F.size(F.split(F.regexp_replace("text", "\n", " "), " ")).cast("bigint")
         return self.read("documents").select(
             "doc_id",
+            "lang",
             F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
             blocks.alias("blocks"),
             F.when(F.col("source").isNotNull(), F.struct(F.size(lines).cast("bigint").alias("block_count"))).alias(
