@@ -164,14 +164,17 @@ def backup_id(kind: str, at: str) -> str:
     return f"{kind}_{at}"
 
 
-def write_backup(df: DataFrame, root: str, kind: str, at: str) -> str:
-    """A gzip JSON snapshot and its catalog row; returns the backup id."""
-    name = backup_id(kind, at)
-    df.write.option("compression", "gzip").option("ignoreNullFields", False).json(f"{root}/data/{name}")
+def write_backup(df: DataFrame, root: str, kind: str, at: str, label: str | None = None) -> str:
+    """A gzip JSON snapshot taken at `at` and its catalog row; returns the backup id.
+
+    Data and catalog row are written to folders named by the id, so a repeated run replaces them.
+    """
+    name = backup_id(kind, label or at)
+    df.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(f"{root}/data/{name}")
     row = df.sparkSession.range(1).select(
         F.lit(name).alias("backup_id"), F.lit(kind).alias("data_type"), F.lit(at).cast("timestamp").alias("created_at")
     )
-    row.write.mode("append").json(f"{root}/catalog")
+    row.write.mode("overwrite").json(f"{root}/catalog/id={name}")
     return name
 
 
@@ -185,7 +188,7 @@ def restore_backup(spark: SparkSession, roots: list[str], name: str, schema: str
 
 
 def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("backup_id string, data_type string, created_at timestamp").json(f"{root}/catalog")
+    return spark.read.schema("backup_id string, data_type string, created_at timestamp").json(f"{root}/catalog/*")
 
 
 def list_backups(catalog: DataFrame) -> DataFrame:

@@ -182,14 +182,23 @@ def trailing_range(df: DataFrame, keys: list[str], ts: str, value: Column, micro
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], moments: bool = False
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    quantiles: dict[str, float],
+    moments: bool = False,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key; `moments` adds n, mean, min and max.
 
+    `weight` is how many rows a row stands for (default one).
+
     Equal values are counted first; ranks come from running sums over (key, value), so no task
     ever holds the values of one key.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        (F.count("*") if weight is None else F.sum(weight)).alias("_c")
+    )
     ranked = scan(
         counts,
         keys,

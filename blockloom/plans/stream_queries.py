@@ -1 +1,120 @@
-"""Placeholder."""
+"""Streams over the events and documents tables, run until all input is processed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from blockloom.functions.scalars import iso_text
+from blockloom.plans.monitor_queries import DEBOUNCE, LOCKOUT, _floor, _spread
+from blockloom.plans.quality_queries import DOCS, MEASURED
+from blockloom.plans.registry import query
+from blockloom.plans.standins import EVENTS_AS_OF, Tables
+from blockloom.session import work_dir
+from blockloom.streaming import stateful, streams
+
+ISO = "'%Y-%m-%d %H:%M:%S.%f'"
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _events(t: Tables):
+    # As a pattern, so that the table may be one file or a folder of files.
+    stream = streams.sample_stream(t.spark, f"{t.sf_dir}/{{events.parquet}}", EVENTS)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_samples", "SELECT event_id, event_type AS series, value FROM events")
+def _(t):
+    root = work_dir(t.spark, "stream")
+    samples = _events(t).select("event_id", F.col("event_type").alias("series"), "value")
+    streams.run_to_table(samples, f"{root}/out", f"{root}/cp")
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query(
+    "stream_tps_tumbling",
+    f"""SELECT event_type, strftime(make_timestamp({_floor(60)} * 1000000), {ISO}) AS window_start, COUNT(*) / 60.0::DOUBLE AS tps
+        FROM events GROUP BY ALL""",
+)
+def _(t):
+    root = work_dir(t.spark, "stream")
+    rates = streams.tumbling_tps(_events(t), ["event_type"], "ts", F.lit(1))
+    streams.run_to_table(rates, f"{root}/out", f"{root}/cp", mode="complete")
+    return t.spark.read.parquet(f"{root}/out").withColumn("window_start", iso_text(F.col("window_start")))
+
+
+@query(
+    "stream_tps_sliding",
+    f"SELECT event_type, window_end, n / 300.0::DOUBLE AS tps FROM ({_spread('COUNT(*) AS n', 'event_type,', source='events')})",
+)
+def _(t):
+    root = work_dir(t.spark, "stream")
+    rates = streams.sliding_tps(_events(t), ["event_type"], "ts", F.lit(1))
+    streams.run_to_table(rates, f"{root}/out", f"{root}/cp", mode="complete")
+    return t.spark.read.parquet(f"{root}/out").withColumn("window_end", F.unix_timestamp("window_end"))
+
+
+@query("stream_unique_blocks", "SELECT DISTINCT user_id FROM events")
+def _(t):
+    root = work_dir(t.spark, "stream")
+    # The watermark spans the table, so each key is kept once.
+    stream = _events(t).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
+    streams.run_to_table(stream, f"{root}/out", f"{root}/cp")
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query("stream_threshold_alerts", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 15")
+def _(t):
+    root = work_dir(t.spark, "stream")
+
+    def callback(batch, batch_id):
+        batch.select("event_id", "value").write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    streams.alert_on(_events(t), "click", "event_type", "value", 15.0, callback, f"{root}/cp")
+    return t.spark.read.parquet(f"{root}/out").select("event_id", "value")
+
+
+@query(
+    "stream_debounce",
+    f"{DEBOUNCE} SELECT series, strftime(ts, {ISO}) AS ts FROM fired",
+    ("samples",),
+)
+def _(t):
+    root = work_dir(t.spark, "stream")
+    high = _events(t).filter("value > 5").withColumnRenamed("event_type", "series")
+    streams.run_to_table(stateful.debounce(high, "series", "ts", 3600), f"{root}/out", f"{root}/cp")
+    return t.spark.read.parquet(f"{root}/out").withColumn("ts", iso_text(F.col("ts")))
+
+
+@query(
+    "stream_lockout",
+    f"""WITH {LOCKOUT} SELECT event_id, user_id::VARCHAR AS user_id, consecutive_failures, consecutive_failures >= 3 AS locked,
+        CASE WHEN consecutive_failures >= 3 THEN strftime(ts + INTERVAL 300 SECONDS, {ISO}) END AS locked_until FROM s""",
+)
+def _(t):
+    root = work_dir(t.spark, "stream")
+    tries = _events(t).filter(F.col("event_type").isin("error", "signup"))
+    out = stateful.lockout(tries, "user_id", "ts", F.col("event_type") == "error")
+    streams.run_to_table(out, f"{root}/out", f"{root}/cp")
+    return t.spark.read.parquet(f"{root}/out").withColumn("locked_until", iso_text(F.col("locked_until")))
+
+
+@query("stream_quality", f"WITH {MEASURED} SELECT doc_id, 'ingest' AS stage, score FROM measured", DOCS)
+def _(t):
+    root = work_dir(t.spark, "stream")
+    # Land the nested documents, then ingest them as a stream.
+    documents = t.chain_documents.drop("lang")
+    documents.write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(documents.schema).parquet(f"{root}/in")
+    streams.ingest_with_quality(
+        stream, "ingest", EVENTS_AS_OF, ["doc_id"], f"{root}/data", f"{root}/metrics", f"{root}/cp"
+    )
+    return t.spark.read.parquet(f"{root}/metrics").select("doc_id", "stage", "score")
+
+
+@query("stream_backup", "SELECT event_id, user_id, value FROM events")
+def _(t):
+    root = work_dir(t.spark, "stream")
+    queued = _events(t).select("event_id", "user_id", "value")
+    streams.backup_worker(queued, f"{root}/backups", "events", "2024-01-31", f"{root}/cp")
+    snapshots = f"{root}/backups/data/*"
+    return t.spark.read.schema("event_id bigint, user_id bigint, value double").json(snapshots)
