@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,21 @@ def has_keys(text: Column, *keys: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def variant(text: Column) -> Column:
-    return F.try_parse_json(text)
+def type_column(key: str) -> str:
+    return f"_type_{key}"
 
 
-def field_type(document: Column, key: str) -> Column:
-    """Spark type name of a top-level field of a variant; null when absent, VOID for JSON null."""
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{key}", "variant"))
+def with_field_types(df: DataFrame, body: str, *keys: str) -> DataFrame:
+    """Add the Spark type name of top-level JSON fields as `_type_<key>` columns.
+
+    Null stands for an absent key, VOID for a JSON null. The text is parsed once per row, in a
+    projection of its own, whatever the number of keys.
+    """
+    parsed = df.withColumn("_document", F.try_parse_json(F.col(body)))
+    types = {
+        type_column(k): F.schema_of_variant(F.try_variant_get("_document", f"$.{k}", "variant")) for k in keys
+    }
+    return parsed.withColumns(types)
 
 
 # What each declared field type accepts, as prefixes of the type names above. A boolean is an
@@ -36,8 +44,9 @@ ACCEPTED = {
 }
 
 
-def is_type(document: Column, key: str, kind: str) -> Column:
-    name = field_type(document, key)
+def is_type(key: str, kind: str) -> Column:
+    """Does the `_type_<key>` column name an accepted type?"""
+    name = F.col(type_column(key))
     test = F.lit(False)
     for prefix in ACCEPTED[kind]:
         test = test | name.startswith(prefix)

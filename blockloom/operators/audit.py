@@ -14,8 +14,8 @@ LOCK_SECONDS = 300
 
 def authorized(events: DataFrame, role: Column, permission: Column) -> DataFrame:
     """Events whose role holds the permission; a missing role is 'user', an unknown one holds nothing."""
-    pairs = [(r, p) for r, granted in ROLES.items() for p in granted]
-    table = events.sparkSession.createDataFrame(pairs, "_role string, _permission string")
+    pairs = [F.struct(F.lit(r).alias("_role"), F.lit(p).alias("_permission")) for r, granted in ROLES.items() for p in granted]
+    table = events.sparkSession.range(1).select(F.inline(F.array(*pairs)))
     asked = events.withColumns({"_role": F.coalesce(role, F.lit("user")), "_permission": permission})
     # The role table is a constant of a few rows.
     return asked.join(F.broadcast(table), ["_role", "_permission"], "left_semi").drop("_role", "_permission")

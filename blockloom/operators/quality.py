@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.functions.jsonkeys import field_type, variant
+from blockloom.functions.jsonkeys import type_column, with_field_types
 from blockloom.functions.scalars import is_contiguous, is_sorted
 
 FIELDS = ("timestamp", "blocks", "metrics", "transaction_metrics")
@@ -128,18 +128,15 @@ def missing_in_json(df: DataFrame, body: str) -> DataFrame:
     return _with_percentage(df.withColumn("_counts", _json_counts(F.col(body))).select("*", "_counts.*").drop("_counts"))
 
 
-def type_flags_json(body: Column) -> dict[str, Column]:
-    """Top-level type flags of a JSON document; absent blocks or metrics pass."""
-    document = variant(body)
-
-    def starts(key: str, prefix: str, absent: bool) -> Column:
-        return F.coalesce(field_type(document, key).startswith(prefix), F.lit(absent))
-
-    return {
-        "timestamp_valid": starts("timestamp", "STRING", False),
-        "blocks_valid": starts("blocks", "ARRAY", True),
-        "metrics_valid": starts("metrics", "OBJECT", True),
+def type_flags_json(df: DataFrame, body: str) -> DataFrame:
+    """Add top-level type flags of JSON documents; absent blocks or metrics pass."""
+    wanted = {"timestamp": ("STRING", False), "blocks": ("ARRAY", True), "metrics": ("OBJECT", True)}
+    typed = with_field_types(df, body, *wanted)
+    flags = {
+        f"{name}_valid": F.coalesce(F.col(type_column(name)).startswith(prefix), F.lit(absent))
+        for name, (prefix, absent) in wanted.items()
     }
+    return typed.select(*df.columns, *[flag.alias(name) for name, flag in flags.items()])
 
 
 def type_flags(df: DataFrame) -> dict[str, Column]:

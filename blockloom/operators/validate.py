@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.functions.jsonkeys import has_keys, is_type, variant
+from blockloom.functions.jsonkeys import has_keys, is_type, type_column, with_field_types
 from blockloom.schemas import RECORD_FIELDS
 
 # Bounds of prompt records and the safety settings they must carry: fixed values.
@@ -50,16 +50,18 @@ def non_empty(df: DataFrame) -> DataFrame:
     return df.agg((F.count("*") > 0).alias("non_empty"))
 
 
-def field_reason(body: Column, fields: dict[str, str]) -> Column:
-    """First failing field check of a JSON record, null when all pass."""
-    document = variant(body)
-    present = F.json_object_keys(body)
+def field_reason(df: DataFrame, body: str, fields: dict[str, str], name: str = "reason") -> DataFrame:
+    """Add the first failing field check of JSON records, null when all pass."""
+    return _with_reason(df, body, fields, name).select(*df.columns, name)
+
+
+def _with_reason(df: DataFrame, body: str, fields: dict[str, str], name: str) -> DataFrame:
+    typed = with_field_types(df, body, *fields)
     checks = []
-    for name, kind in fields.items():
-        has = F.coalesce(F.array_contains(present, name), F.lit(False))
-        checks.append(F.when(~has, F.lit(f"missing field: {name}")))
-        checks.append(F.when(~is_type(document, name, kind), F.lit(f"invalid type: {name}")))
-    return F.coalesce(*checks)
+    for field, kind in fields.items():
+        checks.append(F.when(F.col(type_column(field)).isNull(), F.lit(f"missing field: {field}")))
+        checks.append(F.when(~is_type(field, kind), F.lit(f"invalid type: {field}")))
+    return typed.withColumn(name, F.coalesce(*checks))
 
 
 _TYPED = {
@@ -85,39 +87,36 @@ def typed_field_reason(df: DataFrame, fields: dict[str, str]) -> Column:
     return F.coalesce(*checks)
 
 
-def valid_record(body: Column, kind: str) -> Column:
-    """All required fields of a record kind are there with their types."""
-    return field_reason(body, RECORD_FIELDS[kind]).isNull()
+def valid_record(df: DataFrame, body: str, target: str, name: str = "valid") -> DataFrame:
+    """Add whether JSON records are valid for a target; for an unknown target none is."""
+    if target not in RECORD_FIELDS:
+        return df.withColumn(name, F.lit(False))
+    checked = _with_reason(df, body, RECORD_FIELDS[target], "_reason")
+    test = F.col("_reason").isNull()
+    if target == "llm_input":
+        test = test & _prompt_bounds(F.col("_document"))
+    return checked.select(*df.columns, test.alias(name))
 
 
-def valid_llm_input(body: Column) -> Column:
-    document = variant(body)
+def _prompt_bounds(document: Column) -> Column:
     length = F.char_length(F.try_variant_get(document, "$.prompt", "string"))
     temperature = F.try_variant_get(document, "$.temperature", "double")
     context = F.try_variant_get(document, "$.context_length", "bigint")
-    bounds = (
+    test = (
         length.between(1, MAX_PROMPT_CHARS)
         & temperature.between(0.0, MAX_TEMPERATURE)
         & (context <= MAX_CONTEXT)
-        & has_keys(F.get_json_object(body, "$.safety_settings"), *SAFETY_KEYS)
     )
-    return valid_record(body, "llm_input") & F.coalesce(bounds, F.lit(False))
-
-
-def record_rule(target: str):
-    """The validity rule of a target; records of an unknown target are never valid."""
-    if target == "llm_input":
-        return valid_llm_input
-    if target in RECORD_FIELDS:
-        return lambda body: valid_record(body, target)
-    return lambda body: F.lit(False)
+    for key in SAFETY_KEYS:
+        test = test & F.try_variant_get(document, f"$.safety_settings.{key}", "variant").isNotNull()
+    return F.coalesce(test, F.lit(False))
 
 
 def dataset_gate(records: DataFrame, target: str, body: str = "body") -> DataFrame:
     """One row: does every record pass? Data without records passes for a known target."""
-    known = target in RECORD_FIELDS
-    verdict = F.coalesce(F.bool_and(record_rule(target)(F.col(body))), F.lit(True)) & F.lit(known)
-    return records.agg(verdict.alias("valid")).select(F.lit(target).alias("target"), "valid")
+    verdict = F.coalesce(F.bool_and("_valid"), F.lit(True)) & F.lit(target in RECORD_FIELDS)
+    checked = valid_record(records, body, target, "_valid")
+    return checked.agg(verdict.alias("valid")).select(F.lit(target).alias("target"), "valid")
 
 
 def sla_violations(metrics: DataFrame, keys: list[str], limits: dict[str, tuple[str, float]]) -> DataFrame:

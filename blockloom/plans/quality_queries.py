@@ -12,7 +12,7 @@ DOCS = ("doc_lines", "doc_blocks", "doc_txs")
 
 # Per document: counts of blocks and words, then the metrics of the measured document.
 MEASURED = """
-per_tx AS (SELECT doc_id, SUM((word = '')::INT * 2 + (length(word) <= 3)::INT) AS tx_missing,
+per_tx AS (SELECT doc_id, SUM((word = '')::INT * 2 + (length(word) <= 30)::INT) AS tx_missing,
                   SUM((word <> '')::INT * 0 + 3 + (receiver IS NOT NULL)::INT) AS tx_present,
                   COUNT(*) AS n_tx FROM doc_txs GROUP BY doc_id),
 per_block AS (SELECT doc_id, COUNT(*) AS n_blocks, SUM((hash IS NULL)::INT) AS no_hash,
@@ -23,7 +23,7 @@ base AS (SELECT d.doc_id, d.lang, COALESCE(n_blocks, 0)::BIGINT AS total_records
                 COALESCE(no_hash, 0)::BIGINT AS no_hash, COALESCE(tx_present, 0)::BIGINT AS tx_present,
                 COALESCE(seq, true) AS block_sequence_valid, COALESCE(ord, true) AS timestamps_valid,
                 CASE WHEN d.lang = 'en' THEN true
-                     ELSE COALESCE(n_tx, 0) = len(string_split(replace(d.text, chr(10), ' '), ' ')) END AS transaction_counts_match,
+                     ELSE COALESCE(n_tx, 0) = len(string_split(replace(d.text, chr(10), '. '), '. ')) END AS transaction_counts_match,
                 ((d.lang = 'en')::INT + COALESCE(no_hash, 0) + COALESCE(tx_missing, 0))::BIGINT AS missing_count,
                 (5 + (d.lang <> 'en')::INT + 4 * COALESCE(n_blocks, 0) + 4 * COALESCE(n_tx, 0))::BIGINT AS missing_total
          FROM documents d LEFT JOIN per_block b ON d.doc_id = b.doc_id LEFT JOIN per_tx x ON d.doc_id = x.doc_id),
@@ -72,8 +72,7 @@ def _(t):
         ),
         F.lit("}"),
     )
-    flags = quality.type_flags_json(F.col("body"))
-    return docs.select("doc_id", body.alias("body")).select("doc_id", *[c.alias(n) for n, c in flags.items()])
+    return quality.type_flags_json(docs.select("doc_id", body.alias("body")), "body").drop("body")
 
 
 def _flag_query(name: str, flag: str):

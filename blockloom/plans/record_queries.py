@@ -45,7 +45,7 @@ def _(t):
        FROM conversations WHERE role = 'user'""",
 )
 def _(t):
-    return t.prompt_records.select("conv_id", "turn", validate.valid_llm_input(F.col("body")).alias("valid"))
+    return validate.valid_record(t.prompt_records, "body", "llm_input").select("conv_id", "turn", "valid")
 
 
 def _kind(t, kind: str):
@@ -57,21 +57,17 @@ def _kind(t, kind: str):
     "SELECT conv_id * 1000 + turn AS record_id, turn <> 3 AS valid FROM conversations WHERE role = 'assistant'",
 )
 def _(t):
-    return _kind(t, "llm_output").select("record_id", validate.valid_record(F.col("body"), "llm_output").alias("valid"))
+    return validate.valid_record(_kind(t, "llm_output"), "body", "llm_output").select("record_id", "valid")
 
 
 @query("valid_model_metrics", "SELECT event_id AS record_id, event_type NOT IN ('click', 'view') AS valid FROM events")
 def _(t):
-    return _kind(t, "model_metrics").select(
-        "record_id", validate.valid_record(F.col("body"), "model_metrics").alias("valid")
-    )
+    return validate.valid_record(_kind(t, "model_metrics"), "body", "model_metrics").select("record_id", "valid")
 
 
 @query("valid_training_data", "SELECT doc_id AS record_id, lang NOT IN ('en', 'de') AS valid FROM documents")
 def _(t):
-    return _kind(t, "training_data").select(
-        "record_id", validate.valid_record(F.col("body"), "training_data").alias("valid")
-    )
+    return validate.valid_record(_kind(t, "training_data"), "body", "training_data").select("record_id", "valid")
 
 
 @query(
@@ -80,8 +76,8 @@ def _(t):
               WHEN 'view' THEN 'missing field: error_rate' END AS reason FROM events""",
 )
 def _(t):
-    reason = validate.field_reason(F.col("body"), RECORD_FIELDS["model_metrics"])
-    return _kind(t, "model_metrics").select("record_id", reason.alias("reason"))
+    records_ = _kind(t, "model_metrics")
+    return validate.field_reason(records_, "body", RECORD_FIELDS["model_metrics"]).select("record_id", "reason")
 
 
 @query(

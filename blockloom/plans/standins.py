@@ -101,10 +101,10 @@ class Tables:
 
     @cached_property
     def chain_documents(self) -> DataFrame:
-        """One nested block document per text: a line is a block, a word a transaction.
+        """One nested block document per text: a line is a block, a sentence a transaction.
 
-        Blank lines leave gaps in the block numbers, short lines have no hash and short words no
-        receiver, so every quality rule sees passing and failing documents. Built row by row from
+        Blank lines leave gaps in the block numbers, short lines have no hash and short
+        sentences no receiver, so every quality rule sees passing and failing documents. Built row by row from
         the whole text: no grouping, so no document depends on how many rows share a key.
         """
         lines = F.filter(
@@ -123,17 +123,17 @@ class Tables:
                 F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") + F.least(F.length(b["line"]), F.lit(300)))
                 .alias("timestamp"),
                 F.transform(
-                    F.split(b["line"], " "),
-                    lambda word: F.struct(
-                        word.alias("hash"),
-                        F.substring(word, 1, 1).alias("from"),
-                        F.when(F.length(word) > 3, F.substring(word, -1, 1)).alias("to"),
-                        F.length(word).cast("double").alias("value"),
+                    F.split(b["line"], r"\. "),
+                    lambda part: F.struct(
+                        part.alias("hash"),
+                        F.substring(part, 1, 1).alias("from"),
+                        F.when(F.length(part) > 30, F.substring(part, -1, 1)).alias("to"),
+                        F.length(part).cast("double").alias("value"),
                     ),
                 ).alias("transactions"),
             ),
         )
-        words = F.size(F.split(F.regexp_replace("text", "\n", " "), " ")).cast("bigint")
+        parts = F.size(F.split(F.replace("text", F.lit("\n"), F.lit(". ")), r"\. ")).cast("bigint")
         return self.read("documents").select(
             "doc_id",
             "lang",
@@ -142,7 +142,7 @@ class Tables:
             F.when(F.col("source").isNotNull(), F.struct(F.size(lines).cast("bigint").alias("block_count"))).alias(
                 "metrics"
             ),
-            F.when(F.col("lang") != "en", F.struct(words.alias("total_transactions"))).alias("transaction_metrics"),
+            F.when(F.col("lang") != "en", F.struct(parts.alias("total_transactions"))).alias("transaction_metrics"),
         )
 
     @cached_property
@@ -322,7 +322,7 @@ class Tables:
                     F.struct(F.array(t["hash"], t["from"]).alias("signatures")).alias("transaction"),
                     F.lit(0).cast("bigint").alias("slot"),
                     F.struct(
-                        F.when(t["value"] > 6, '{"InstructionError":1}').when(t["value"] > 4, "{}").alias("err"),
+                        F.when(t["value"] > 60, '{"InstructionError":1}').when(t["value"] > 40, "{}").alias("err"),
                         t["value"].cast("bigint").alias("fee"),
                     ).alias("meta"),
                 ),
@@ -381,11 +381,11 @@ CTES = {
         WHERE trim(line, ' ') <> ''""",
     "doc_blocks": """
         SELECT doc_id, i AS number, CASE WHEN length(line) >= 20 THEN md5(line) END AS hash,
-               1704067200 + doc_id + least(length(line), 300) AS ts, string_split(line, ' ') AS words
+               1704067200 + doc_id + least(length(line), 300) AS ts, string_split(line, '. ') AS words
         FROM doc_lines""",
     "doc_txs": """
         SELECT doc_id, number, word, left(word, 1) AS sender,
-               CASE WHEN length(word) > 3 THEN right(word, 1) END AS receiver
+               CASE WHEN length(word) > 30 THEN right(word, 1) END AS receiver
         FROM (SELECT doc_id, number, UNNEST(words) AS word FROM doc_blocks)""",
     "landed": """
         SELECT 'blockchain' AS source_type, o_orderkey AS record_id,
@@ -403,6 +403,6 @@ CTES = {
                WHEN '2-HIGH' THEN 'pytorch_model.bin' WHEN '3-MEDIUM' THEN 'tokenizer.json' ELSE 'notes.txt' END AS name
         FROM orders""",
     "raw_slot_txs": """
-        SELECT doc_id, number, i, word, CASE WHEN length(word) > 6 THEN 'failed' ELSE 'success' END AS status FROM (
+        SELECT doc_id, number, i, word, CASE WHEN length(word) > 60 THEN 'failed' ELSE 'success' END AS status FROM (
             SELECT doc_id, number, UNNEST(range(len(words))) AS i, UNNEST(words) AS word FROM doc_blocks)""",
 }

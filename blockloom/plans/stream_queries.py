@@ -57,7 +57,7 @@ def _(t):
 def _(t):
     root = work_dir(t.spark, "stream")
     # The watermark spans the table, so each key is kept once.
-    stream = _events(t).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
+    stream = streams.unique_blocks(_events(t), "ts", "user_id", "60 days").select("user_id")
     streams.run_to_table(stream, f"{root}/out", f"{root}/cp")
     return t.spark.read.parquet(f"{root}/out")
 

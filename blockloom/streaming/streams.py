@@ -49,9 +49,9 @@ def sliding_tps(stream: DataFrame, keys: list[str], ts: str, amount: Column, min
     )
 
 
-def unique_blocks(stream: DataFrame, ts: str, key: str = "block_hash") -> DataFrame:
+def unique_blocks(stream: DataFrame, ts: str, key: str = "block_hash", delay: str = WATERMARK) -> DataFrame:
     """One row per hash within the watermark."""
-    return watermarked(stream, ts).dropDuplicatesWithinWatermark([key])
+    return watermarked(stream, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
