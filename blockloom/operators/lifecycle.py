@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,15 +163,16 @@ def archive_restore(live: DataFrame, archived: DataFrame, key: str, start: str,
 
 
 def backup_id(kind: str, at: str) -> str:
-    return f"{kind}_{at}"
+    """`{kind}_{yyyymmdd_HHMMSS}`: no colons, which folder names must not hold."""
+    return f"{kind}_{datetime.fromisoformat(at):%Y%m%d_%H%M%S}"
 
 
-def write_backup(df: DataFrame, root: str, kind: str, at: str, label: str | None = None) -> str:
+def write_backup(df: DataFrame, root: str, kind: str, at: str, part: int | None = None) -> str:
     """A gzip JSON snapshot taken at `at` and its catalog row; returns the backup id.
 
     Data and catalog row are written to folders named by the id, so a repeated run replaces them.
     """
-    name = backup_id(kind, label or at)
+    name = backup_id(kind, at) + ("" if part is None else f"_{part}")
     df.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(f"{root}/data/{name}")
     row = df.sparkSession.range(1).select(
         F.lit(name).alias("backup_id"), F.lit(kind).alias("data_type"), F.lit(at).cast("timestamp").alias("created_at")

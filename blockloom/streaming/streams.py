@@ -109,7 +109,7 @@ def backup_worker(stream: DataFrame, root: str, kind: str, as_of: str, checkpoin
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            lifecycle.write_backup(batch, root, kind, as_of, label=f"{as_of}_{batch_id}")
+            lifecycle.write_backup(batch, root, kind, as_of, part=batch_id)
 
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
