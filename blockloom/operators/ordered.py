@@ -20,6 +20,11 @@ _POS = "_pos"
 _BEFORE, _ROW, _AFTER = 0, 1, 2
 
 
+BYTES_PER_BLOCK = 128 << 20  # of stored input
+MAX_BLOCKS = 50_000
+_UNKNOWN_SIZE = 1 << 60  # larger estimates are Spark's stand-in for "not known"
+
+
 class Running(NamedTuple):
     """One running value: `kind` is sum, min, max or last (last non-null)."""
 
@@ -36,12 +41,20 @@ def to_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int | No
     The checkpoint makes the block numbers stable for the two branches that read them, and lets a
     lost executor be replaced without sampling the ranges again.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    parts = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_root(df.sparkSession)
+    parts = blocks or block_count(df)
     return df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id()).checkpoint()
 
 
+def block_count(df: DataFrame) -> int:
+    """Blocks by the stored size of what `df` reads, and no fewer than the shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < _UNKNOWN_SIZE)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MAX_BLOCKS, known // BYTES_PER_BLOCK + 1))
+
+
 def _fold(kind: str, value: Column) -> Column:
     if kind == "sum":
         return F.sum(value)

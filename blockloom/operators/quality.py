@@ -28,6 +28,15 @@ MIN_CONSISTENCY = 90.0
 WEIGHTS = {"missing": 0.4, "types": 0.3, "consistency": 0.3}
 
 
+# Message texts: fixed values.
+HIGH_MISSING = "High percentage of missing values: "
+LOW_SCORE = "Low quality score: "
+LOW_CONSISTENCY = "Low consistency: "
+INVALID_TYPE = "Invalid data type for field: "
+ADVISE_SOURCE = "Consider implementing data validation at source"
+ADVISE_TYPES = "Review data type handling in ETL pipeline"
+
+
 def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
@@ -228,9 +237,9 @@ def _kept(*texts: Column) -> Column:
 
 def issues() -> Column:
     percent = F.concat(
-        F.lit("High percentage of missing values: "), F.col("missing_percentage").cast("string"), F.lit("%")
+        F.lit(HIGH_MISSING), F.col("missing_percentage").cast("string"), F.lit("%")
     )
-    invalid = [F.when(~F.col(f), F.lit(f"Invalid data type for field: {f}")) for f in TYPE_FLAGS]
+    invalid = [F.when(~F.col(f), F.lit(INVALID_TYPE + f)) for f in TYPE_FLAGS]
     return _kept(F.when(_too_many_missing(), percent), *invalid)
 
 
@@ -239,8 +248,8 @@ def recommendations() -> Column:
     for f in TYPE_FLAGS[1:]:
         all_typed = all_typed & F.col(f)
     return _kept(
-        F.when(_too_many_missing(), F.lit("Consider implementing data validation at source")),
-        F.when(~all_typed, F.lit("Review data type handling in ETL pipeline")),
+        F.when(_too_many_missing(), F.lit(ADVISE_SOURCE)),
+        F.when(~all_typed, F.lit(ADVISE_TYPES)),
     )
 
 
@@ -272,13 +281,13 @@ def alert_texts(quality_score: Column, missing_percentage: Column, consistency:
     """Alert messages of one metrics row; a missing score counts as 0. Consistency is opt-in."""
     value = F.coalesce(quality_score, F.lit(0.0))
     missing = F.coalesce(missing_percentage, F.lit(0.0))
-    low = F.concat(F.lit("Low quality score: "), _two_digits(value), F.lit(f"% (threshold: {MIN_SCORE}%)"))
+    low = F.concat(F.lit(LOW_SCORE), _two_digits(value), F.lit(f"% (threshold: {MIN_SCORE}%)"))
     high = F.concat(
-        F.lit("High percentage of missing values: "), _two_digits(missing), F.lit(f"% (threshold: {MAX_MISSING}%)")
+        F.lit(HIGH_MISSING), _two_digits(missing), F.lit(f"% (threshold: {MAX_MISSING}%)")
     )
     texts = [F.when(value < MIN_SCORE, low), F.when(missing > MAX_MISSING, high)]
     if consistency is not None:
-        text = F.concat(F.lit("Low consistency: "), _two_digits(consistency), F.lit(f"% (threshold: {MIN_CONSISTENCY}%)"))
+        text = F.concat(F.lit(LOW_CONSISTENCY), _two_digits(consistency), F.lit(f"% (threshold: {MIN_CONSISTENCY}%)"))
         texts.append(F.when(consistency < MIN_CONSISTENCY, text))
     return _kept(*texts)
 

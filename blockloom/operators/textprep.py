@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from blockloom.operators.ordered import number_rows
 
 
-def _hash(text: Column) -> Column:
-    return F.md5(text.cast("binary"))
+def _hash(df: DataFrame, text: str) -> Column:
+    """MD5 of the text; rows without text get a key of their own, so they do not pile up in one task."""
+    return F.coalesce(F.md5(F.col(text).cast("binary")), F.concat(F.lit("-"), F.xxhash64(*df.columns).cast("string")))
 
 
 def dedup_prompts(records: DataFrame, order: str, prompt: str = "prompt") -> DataFrame:
@@ -25,7 +26,7 @@ def dedup_prompts(records: DataFrame, order: str, prompt: str = "prompt") -> Dat
     costs one row per map task. The closing join is keyed uniquely on one side and left to AQE's
     skew split on the other.
     """
-    hashed = records.withColumn("_hash", _hash(F.col(prompt)))
+    hashed = records.withColumn("_hash", _hash(records, prompt))
     firsts = hashed.filter(F.col(prompt).isNotNull()).groupBy("_hash").agg(F.min(order).alias("_first"))
     ids = number_rows(firsts, [], ["_first"], "_n").select("_hash", "_first", (F.col("_n") - 1).alias("_id"))
     first = F.col(order) == F.col("_first")
@@ -39,12 +40,18 @@ def dedup_prompts(records: DataFrame, order: str, prompt: str = "prompt") -> Dat
 
 
 def resolve_prompt_refs(records: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Put the kept text back where a record only refers to it."""
-    kept = records.filter(F.col("id").isNotNull()).select(F.col("id").alias("prompt_ref"), F.col(prompt).alias("_text"))
+    """Put the kept text back where a record only refers to it.
+
+    Records without a reference join on negative keys of their own: ids are never negative, and a
+    shared null key would send all of them to one task.
+    """
+    kept = records.filter(F.col("id").isNotNull()).select(F.col("id").alias("_key"), F.col(prompt).alias("_text"))
+    spread = -1 - F.pmod(F.xxhash64(*records.columns), F.lit(1 << 40))
     return (
-        records.join(kept, "prompt_ref", "left")
+        records.withColumn("_key", F.coalesce("prompt_ref", spread))
+        .join(kept, "_key", "left")
         .withColumn(prompt, F.coalesce(F.col(prompt), F.col("_text")))
-        .drop("_text", "id", "prompt_ref")
+        .drop("_key", "_text", "id", "prompt_ref")
     )
 
 
@@ -134,7 +141,7 @@ def batch_infer(
                     }
                 )
 
-    hashed = prompts.withColumn("_hash", _hash(F.col(prompt)))
+    hashed = prompts.withColumn("_hash", _hash(prompts, prompt))
     distinct = hashed.filter(F.col(prompt).isNotNull()).groupBy("_hash").agg(F.any_value(prompt).alias("_prompt"))
     answers = distinct.mapInPandas(run, "_hash string, generated string, tokens long")
     reason = F.when(F.col("tokens") >= max_length, "length").when(F.col("tokens").isNotNull(), "stop")
