@@ -114,9 +114,15 @@ def with_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.withColumn("month", F.date_format(ts, "yyyy_MM"))
 
 
+def _balanced(df: DataFrame, *folders: str) -> DataFrame:
+    """Bring rows of a folder together before a partitioned write, so tasks do not each write a file
+    to every folder; AQE splits a folder that is too large for one task and merges small ones."""
+    return df.hint("rebalance", *folders)
+
+
 def write_by_month(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Append to month folders. Each task writes its own file, so a large month has many writers."""
-    with_month(df, ts).write.mode("append").partitionBy("month").parquet(path)
+    """Append to month folders."""
+    _balanced(with_month(df, ts), "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def rows_per_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -144,7 +150,8 @@ def archive_write(df: DataFrame, table: str, as_of: str, archive: str, live: str
     """
     flagged = df.withColumn("_old", is_old(as_of, ts))
     old = with_month(flagged.filter("_old"), ts).drop("_old", "compressed").withColumn("original_table", F.lit(table))
-    old.write.mode("append").option("compression", "zstd").partitionBy("original_table", "month").parquet(archive)
+    archived = _balanced(old, "original_table", "month").write.mode("append").option("compression", "zstd")
+    archived.partitionBy("original_table", "month").parquet(archive)
     flagged.withColumn("compressed", F.coalesce("compressed", F.lit(False)) | F.col("_old")).drop("_old").write.mode(
         "append"
     ).parquet(live)
@@ -205,6 +212,21 @@ def retention_plan(catalog: DataFrame, retention_days: int, as_of: str) -> DataF
     return catalog.withColumn("age_days", age).withColumn("expired", F.col("age_days") > retention_days)
 
 
+def purge_backups(plan: DataFrame, root: str) -> int:
+    """Delete the expired backups of a retention plan; returns how many.
+
+    Ids stream to the driver a partition at a time, for folders can only be deleted from there.
+    """
+    spark = plan.sparkSession
+    removed = 0
+    for row in plan.filter("expired").select("backup_id").toLocalIterator():
+        for folder in (f"{root}/data/{row['backup_id']}", f"{root}/catalog/id={row['backup_id']}"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed += 1
+    return removed
+
+
 # Tiers
 
 
@@ -233,12 +255,10 @@ def lifecycle_plan(items: DataFrame, as_of: str, policies=TIER_POLICIES) -> Data
 def lifecycle_apply(plan: DataFrame, path: str, as_of: str) -> None:
     """Write items to `storage_class=` folders as planned; deleted items are left out."""
     moved = F.col("action") != "none"
-    (
+    kept = (
         plan.filter("action <> 'delete'")
         .withColumn("storage_class", F.when(moved, F.col("target_class")).otherwise(F.col("storage_class")))
         .withColumn("moved_at", F.when(moved, F.lit(as_of).cast("timestamp")))
         .drop("policy", "target_class", "action", "age_days")
-        .write.mode("append")
-        .partitionBy("storage_class")
-        .parquet(path)
     )
+    _balanced(kept, "storage_class").write.mode("append").partitionBy("storage_class").parquet(path)

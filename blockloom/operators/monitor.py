@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import money, ratio
 from blockloom.operators.ordered import Running, exact_quantiles, rolling_rows, running, scan, to_blocks, trailing_range
+from blockloom.session import written
 
 # Default histogram bounds in seconds: fixed values.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, float("inf"))
@@ -252,7 +253,8 @@ def debounce(alerts: DataFrame, keys: list[str], ts: str, seconds: int = 10) ->
             Running("_session", "last", F.col("_start")),
             Running("_next_start", "last", F.col("_start"), inclusive=False, backward=True),
         ],
-    ).checkpoint()
+    )
+    ran = written(ran, "debounce")
     starts = ran.filter("_start is not null").select(*keys, "_at")
     # A probe carries its alert's pointer; a pointer to the next session's start is not needed.
     # A start at the probe's own time sorts after it, so the exclusive look-ahead sees it too.
@@ -266,8 +268,8 @@ def debounce(alerts: DataFrame, keys: list[str], ts: str, seconds: int = 10) ->
     rounds = ceil(log2((longest or 0) // gap + 1)) if longest else 0
     for turn in range(rounds):
         reached = fired.join(jumps, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))
-        fired = fired.unionByName(reached).distinct().checkpoint()
+        fired = written(fired.unionByName(reached).distinct(), "debounce")
         if turn + 1 < rounds:
             second = jumps.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
-            jumps = jumps.join(second, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to")).checkpoint()
+            jumps = written(jumps.join(second, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to")), "debounce")
     return fired.select(*keys, F.timestamp_micros("_at").alias(ts))

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.session import checkpoint_root
+from blockloom.session import written
 
 BLOCK = "_block"
 _POS = "_pos"
@@ -21,7 +21,7 @@ _BEFORE, _ROW, _AFTER = 0, 1, 2
 
 
 BYTES_PER_BLOCK = 128 << 20  # of stored input
-MAX_BLOCKS = 50_000
+MAX_BLOCKS = 200_000  # range bounds come from about a million sampled rows, a few per block even here
 _UNKNOWN_SIZE = 1 << 60  # larger estimates are Spark's stand-in for "not known"
 
 
@@ -36,14 +36,15 @@ class Running(NamedTuple):
 
 
 def to_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
-    """Range-partition on keys + order and fix each row's block number by a checkpoint.
+    """Range-partition on keys + order and fix each row's block number in a written table.
 
-    The checkpoint makes the block numbers stable for the two branches that read them, and lets a
-    lost executor be replaced without sampling the ranges again.
+    The table keeps the numbers the same for the two branches that read them, and a lost executor
+    is replaced without sampling the ranges again. Rows are written in order, so the sorts that
+    follow find them nearly done.
     """
-    checkpoint_root(df.sparkSession)
     parts = blocks or block_count(df)
-    return df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
+    return written(ranged.sortWithinPartitions(*keys, *order), "blocks")
 
 
 def block_count(df: DataFrame) -> int:

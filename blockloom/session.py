@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import blockloom
 
@@ -62,3 +63,31 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_scratch: list[tuple[object, object]] = []  # (file system, path) of tables made by `written`
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, lineage cut, columns still prunable.
+
+    The table is scratch of this application; `release` or the end of the program removes it.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    if not _scratch:
+        atexit.register(release)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _scratch.append((target.getFileSystem(spark._jsc.hadoopConfiguration()), target))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Remove the scratch tables made so far. Frames that read them can no longer run."""
+    while _scratch:
+        system, path = _scratch.pop()
+        try:
+            system.delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone; what is left lies in the shared folder
+            return

@@ -111,7 +111,11 @@ def test_backups(spark):
     assert [r["backup_id"] for r in lifecycle.list_backups(catalog).collect()] == [second, first]
     plan = lifecycle.retention_plan(catalog, 60, "2024-03-01 12:00:00")
     assert rows(plan.select("age_days", "expired")) == [(0, False), (60, False)]
-    assert rows(lifecycle.retention_plan(catalog, 59, "2024-03-01 12:00:00").select("expired")) == [(False,), (True,)]
+    late = lifecycle.retention_plan(catalog, 59, "2024-03-01 12:00:00")
+    assert rows(late.select("expired")) == [(False,), (True,)]
+    assert lifecycle.purge_backups(late, root) == 1
+    assert [r["backup_id"] for r in lifecycle.read_catalog(spark, root).collect()] == [second]
+    assert lifecycle.restore_backup(spark, [root], first, schema) is None
 
 
 @pytest.mark.parametrize(
