@@ -60,7 +60,7 @@ def _(t):
 
 @query(
     "running_avg_latency",
-    """SELECT event_id, endpoint, (SUM(latency::DECIMAL(18,2)) OVER w)::DOUBLE / NULLIF(SUM(tokens) OVER w, 0) AS avg_latency
+    """SELECT event_id, endpoint, COALESCE((SUM(latency::DECIMAL(18,2)) OVER w)::DOUBLE / NULLIF(SUM(tokens) OVER w, 0), 0) AS avg_latency
        FROM requests WINDOW w AS (PARTITION BY endpoint ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
     ("requests",),
 )
