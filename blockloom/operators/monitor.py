@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from math import ceil, log2
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,59 +219,80 @@ def first_point(resampled: DataFrame, series: str, names: list[str]) -> DataFram
 # Debounce
 
 
-def debounce(alerts: DataFrame, keys: list[str], ts: str, seconds: int = 10) -> DataFrame:
+def debounce(alerts: DataFrame, keys: list[str], ts: str, seconds: int = 10, max_session: int = 100_000) -> DataFrame:
     """Times at which an alert fires when it may fire again only `seconds` after it last fired.
 
     An alert fires depending on the last one that fired, so this is no window. A gap of at least
-    `seconds` before an alert makes it fire whatever came before; such alerts start sessions. In
-    a session each alert points to the first one `seconds` later, and the alerts reachable from
-    the start fire. Reachability takes log2(longest session) rounds of joins that double the
-    pointers, so a session of any size stays distributed.
+    `seconds` before an alert makes it fire whatever came before; such alerts start sessions that
+    do not depend on each other. Sessions of at most `max_session` alerts are walked in one group
+    each. In longer ones each alert points to the first one `seconds` later, and those reachable
+    from the start fire: log2 rounds of joins that double the pointers, so a session of any size
+    stays distributed.
     """
     gap = seconds * 1_000_000
+    ran = _sessions(alerts, keys, ts, gap)
+    starts = ran.filter(F.col("_at") == F.col("_session")).select(*keys, "_at")
+    session = [*keys, "_session"]
+    # Alerts too close to their session's start cannot fire.
+    later = ran.filter(F.col("_at") - F.col("_session") >= gap)
+    sizes = later.groupBy(*session).agg(F.count("*").alias("_n"), (F.max("_at") - F.col("_session")).alias("_span"))
+    large = written(sizes.filter(F.col("_n") > max_session), "debounce")
+    longest = large.agg(F.max("_span")).first()[0]
+
+    small = later if longest is None else later.join(large, session, "left_anti")
+    fired = starts.unionByName(small.groupBy(*session).applyInPandas(_walk(keys, gap), later.schema).drop("_session"))
+    if longest is not None:
+        fired = fired.unionByName(_reachable(ran, large, keys, gap, longest // gap)).distinct()
+    return fired.select(*keys, F.timestamp_micros("_at").alias(ts))
+
+
+def _sessions(alerts: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
+    """Distinct alert times `_at` with the start `_session` of the session each is in.
+
+    Times are sorted within their key, so the latest earlier one is a running maximum.
+    """
     points = alerts.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).distinct()
-    marked = points.withColumn("_probe", F.lit(0)).unionByName(
-        points.select(*keys, (F.col("_at") + gap).alias("_at"), F.lit(-1).alias("_probe"), F.col("_at").alias("_owner")),
-        allowMissingColumns=True,
-    )
+    seen = Running("_previous", "max", F.col("_at"), inclusive=False)
+    lagged = running(to_blocks(points, keys, ["_at"]), keys, ["_at"], [seen])
+    begins = F.coalesce(F.col("_at") - F.col("_previous") >= gap, F.lit(True))
+    flagged = written(lagged.withColumn("_start", F.when(begins, F.col("_at"))).drop("_previous"), "debounce")
+    ran = running(flagged, keys, ["_at"], [Running("_session", "max", F.col("_start"))])
+    return written(ran.select(*keys, "_session", "_at"), "debounce")
+
+
+def _walk(keys: list[str], gap: int):
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(group["_at"].to_numpy())
+        last, fired = key[-1], []
+        while (i := np.searchsorted(times, last + gap)) < len(times):
+            last = int(times[i])
+            fired.append(last)
+        columns = {name: [value] * len(fired) for name, value in zip([*keys, "_session"], key, strict=True)}
+        return pd.DataFrame({**columns, "_at": fired})
+
+    return run
+
+
+def _reachable(ran: DataFrame, large: DataFrame, keys: list[str], gap: int, steps: int) -> DataFrame:
+    """Alerts of the large sessions that pointers lead to from the start, in at most `steps` steps."""
+    session = [*keys, "_session"]
+    points = ran.join(large, session, "left_semi").select(*session, "_at")
+    # A probe `gap` after each alert sorts before an alert of equal time, so looking back from the
+    # end it sees that alert: the smallest time still to come.
+    probes = points.select(*session, (F.col("_at") + gap).alias("_at"), F.lit(-1).alias("_probe"), F.col("_at").alias("_owner"))
+    marked = points.withColumn("_probe", F.lit(0)).unionByName(probes, allowMissingColumns=True)
     own = F.when(F.col("_probe") == 0, F.col("_at"))
-    order = ["_at", "_probe"]
-    ran = running(
-        to_blocks(marked, keys, order),
-        keys,
-        order,
-        [
-            Running("_previous", "last", own, inclusive=False),
-            Running("_following", "last", own, backward=True),
-        ],
-    )
-    begins = (F.col("_probe") == 0) & F.coalesce(F.col("_at") - F.col("_previous") >= gap, F.lit(True))
-    start = F.when(begins, F.col("_at"))
-    ran = running(
-        ran.withColumn("_start", start),
-        keys,
-        order,
-        [
-            Running("_session", "last", F.col("_start")),
-            Running("_next_start", "last", F.col("_start"), inclusive=False, backward=True),
-        ],
+    pointed = scan(marked, session, ["_at", "_probe"], [Running("_to", "min", own, backward=True)])
+    jumps = written(
+        pointed.filter("_probe = -1 and _to is not null").select(*keys, F.col("_owner").alias("_at"), "_to"), "debounce"
     )
-    ran = written(ran, "debounce")
-    starts = ran.filter("_start is not null").select(*keys, "_at")
-    # A probe carries its alert's pointer; a pointer to the next session's start is not needed.
-    # A start at the probe's own time sorts after it, so the exclusive look-ahead sees it too.
-    inside = F.col("_following").isNotNull() & (F.col("_next_start").isNull() | (F.col("_following") < F.col("_next_start")))
-    jumps = ran.filter((F.col("_probe") == -1) & inside).select(
-        *keys, F.col("_owner").alias("_at"), F.col("_following").alias("_to")
-    )
-    longest = ran.filter("_probe = 0").agg(F.max(F.col("_at") - F.col("_session"))).first()[0]
-
-    fired = starts
-    rounds = ceil(log2((longest or 0) // gap + 1)) if longest else 0
+    fired = large.select(*keys, F.col("_session").alias("_at"))
+    rounds = ceil(log2(steps + 1))
     for turn in range(rounds):
         reached = fired.join(jumps, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))
         fired = written(fired.unionByName(reached).distinct(), "debounce")
         if turn + 1 < rounds:
             second = jumps.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
-            jumps = written(jumps.join(second, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to")), "debounce")
-    return fired.select(*keys, F.timestamp_micros("_at").alias(ts))
+            doubled = jumps.join(second, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to"))
+            jumps = written(doubled, "debounce")
+    return fired

@@ -150,14 +150,23 @@ def brute_debounce(data, seconds):
     return fired
 
 
-@pytest.mark.parametrize("spread,seconds", [(3000, 10), (300, 10), (100000, 10), (900, 60)])
-def test_debounce(spark, spread, seconds):
+@pytest.mark.parametrize(
+    "spread,seconds,max_session", [(3000, 10, 100_000), (3000, 10, 4), (300, 10, 100_000), (300, 10, 0), (100000, 10, 2), (900, 60, 100_000)]
+)
+def test_debounce(spark, spread, seconds, max_session):
     data = [(k, s) for k, s, _, _ in skewed(500, seed=spread, spread=spread)]
     df = spark.createDataFrame(data, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
-    out = monitor.debounce(df, ["k"], "ts", seconds).select("k", F.unix_timestamp("ts"))
+    out = monitor.debounce(df, ["k"], "ts", seconds, max_session).select("k", F.unix_timestamp("ts"))
     assert sorted(tuple(r) for r in out.collect()) == sorted(brute_debounce(data, seconds))
 
 
+def test_debounce_without_keys(spark):
+    data = [("x", s) for _, s, _, _ in skewed(100, seed=9, spread=500)]
+    df = spark.createDataFrame(data, "k string, s long").select(F.timestamp_seconds("s").alias("ts"))
+    out = monitor.debounce(df, [], "ts", 10)
+    assert sorted(r[0] for r in out.select(F.unix_timestamp("ts")).collect()) == sorted(s for _, s in brute_debounce(data, 10))
+
+
 def test_debounce_of_nothing(spark):
     df = spark.createDataFrame([], "k string, ts timestamp")
     assert monitor.debounce(df, ["k"], "ts").count() == 0
