@@ -27,3 +27,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, underscored until no column of `df` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def quoted(name: str) -> Column:
+    """The top-level column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
