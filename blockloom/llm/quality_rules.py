@@ -29,10 +29,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Measures as integers in thousandths, which side is judged, and the least spread a fence allows for.
 MEASURES = {
-    "word_length": ("n_words", "word_chars", True, 500),
+    "word_length": ("n_words", "word_chars", True, 1000),
     "symbols": ("n_words", "n_symbols", False, 30),
     "dup_lines": ("n_words", "n_dup_lines", False, 30),
-    "repeats": ("n_words", "n_repeat_words", False, 60),
+    "repeats": ("n_words", "n_repeat_words", False, 70),
 }
 SPREADS = 3  # a fence lies this many spreads beyond a quartile
 MIN_GROUP = 200  # documents; smaller groups use their language's sketch, or that of all
