@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.llm.mixing import mixing
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.token_counts import token_counts
 from blockloom.session import configure
@@ -33,3 +34,40 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+ORACLES["op10_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), text)), 1, 15))::BIGINT AS place
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, [3, 1, 2][rank % 3 + 1]::BIGINT AS weight, 2 * source_size AS cap,
+    (150 * sum(source_size) OVER ())::BIGINT AS budget FROM s),
+o AS (
+  SELECT *, coalesce(sum(cap) OVER before, 0)::BIGINT AS capped,
+    (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::BIGINT AS open_weight
+  FROM w WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (budget - 100 * capped) / (100 * open_weight) AS level FROM o),
+g AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()) AS target
+  FROM l),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS rounds FROM g),
+c AS (
+  SELECT d.*, e.source_size, e.target, e.rounds, e.target - e.rounds * e.source_size AS extra,
+    sum(size) OVER (PARTITION BY d.source ORDER BY place) AS upto,
+    sum(size) OVER (PARTITION BY d.source, place) AS step
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  (size * (rounds + CASE WHEN 2 * upto - step <= 2 * extra THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
