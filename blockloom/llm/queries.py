@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm.mixing import mixing
+from blockloom.llm.packing import best_fit_packing
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.token_counts import token_counts
 from blockloom.session import configure
@@ -36,6 +37,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
