@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockloom.llm.mixing import mixing
 from blockloom.llm.packing import best_fit_packing
+from blockloom.llm.preference_chat import preference_pairs, rendered, trained_chars, weaker
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.token_counts import token_counts
+from blockloom.llm.url_filters import LOWER, PATTERNS, UPPER, url_verdicts
 from blockloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +80,86 @@ SELECT doc_id, size, source_size, target,
   (size * (rounds + CASE WHEN 2 * upto - step <= 2 * extra THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
+
+
+@query
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against its weaker form."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = preference_pairs(turns, weaker(turns))
+    digest = [
+        column
+        for side in ("chosen", "rejected")
+        for column in (
+            rendered(F.col(side)).alias(side),
+            trained_chars(F.col(side)).alias(f"{side}_trained_chars"),
+        )
+    ]
+    return pairs.select("conv_id", "prompt_turns", "prompt", *digest)
+
+
+ORACLES["op5_preference_chat"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last FROM t GROUP BY conv_id),
+r AS (
+  SELECT conv_id, turn, role, CASE WHEN turn = last AND role = 'assistant'
+    THEN array_to_string(string_split(text, ' ')[1:len(string_split(text, ' ')) // 2], ' ') ELSE text END AS text
+  FROM t JOIN l USING (conv_id) WHERE last IS NULL OR turn <= last),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    '<|' || role || '|>' || chr(10) || text || chr(10) AS said,
+    CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS trained
+  FROM (SELECT 'c' AS side, * FROM t UNION ALL SELECT 'r', * FROM r)),
+p AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.pos, r.pos)) AS first
+  FROM (FROM n WHERE side = 'c') c FULL JOIN (FROM n WHERE side = 'r') r ON c.conv_id = r.conv_id AND c.pos = r.pos
+  WHERE c.said IS DISTINCT FROM r.said GROUP BY 1)
+SELECT n.conv_id, min(coalesce(first - 1, same))::INTEGER AS prompt_turns,
+  coalesce(string_agg(said, '' ORDER BY pos) FILTER (side = 'c' AND pos < coalesce(first, same + 1)), '') AS prompt,
+  coalesce(string_agg(said, '' ORDER BY pos) FILTER (side = 'c' AND pos >= first), '') AS chosen,
+  coalesce(sum(trained) FILTER (side = 'c' AND pos >= first), 0)::BIGINT AS chosen_trained_chars,
+  coalesce(string_agg(said, '' ORDER BY pos) FILTER (side = 'r' AND pos >= first), '') AS rejected,
+  coalesce(sum(trained) FILTER (side = 'r' AND pos >= first), 0)::BIGINT AS rejected_trained_chars
+FROM n LEFT JOIN p USING (conv_id)
+  JOIN (SELECT conv_id, count(*) AS same FROM n WHERE side = 'c' GROUP BY 1) z USING (conv_id)
+GROUP BY n.conv_id
+"""
+
+
+#: Host rules of the registered query: verdict, host, start of the path.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string")
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+ORACLES["op8_url_filters"] = rf"""
+WITH r(verdict, host, path) AS (VALUES {", ".join(map(str, URL_RULES))}),
+p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM p)
+SELECT page_id, host, path,
+  (SELECT max_by(r.host || r.path, length(r.host || r.path)) FROM r
+    WHERE (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)) AS rule,
+  coalesce(
+    (SELECT max_by(r.verdict, length(r.host || r.path)) FROM r
+      WHERE (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)),
+    CASE WHEN {" OR ".join(f"regexp_matches(translate(url, '{UPPER}', '{LOWER}'), '{p}')" for p, _ in PATTERNS)}
+      THEN 'block' ELSE 'allow' END) AS verdict
+FROM h
+"""
