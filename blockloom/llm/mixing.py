@@ -124,7 +124,8 @@ def plan(sizes: DataFrame, **shares) -> DataFrame:
     )
     head = F.shiftleft(F.col("cut"), HASH_BITS - 2 * PREFIX_BITS) - 1
     last = cut.join(last, of, "left").select("s", F.coalesce("inside", head).alias("last"))
-    return goals.join(last, of, "left").drop("s").withColumn("last", F.coalesce("last", F.lit(-1).cast("long")))
+    goals = goals.join(last, of, "left").drop("s").withColumn("last", F.coalesce("last", F.lit(-1).cast("long")))
+    return written(goals, "mix-plan")  # so that the join with all rows is a plain one, broadcast or split by size
 
 
 def _marks(sizes: DataFrame) -> DataFrame:
