@@ -13,6 +13,7 @@ from blockloom.llm.packing import best_fit_packing
 from blockloom.llm.preference_chat import preference_pairs, rendered, trained_chars, weaker
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.token_counts import token_counts
+from blockloom.llm.toxicity import severity, train
 from blockloom.llm.url_filters import LOWER, PATTERNS, UPPER, url_verdicts
 from blockloom.session import configure
 
@@ -29,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 fine, 1 of poor quality, 2 toxic. Toxic is what more likely than not has grade 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
+    model = train(docs, labels.select("doc_id", grade.alias("grade")))
+    return severity(docs, model).withColumn("toxic", F.col("grade") == 2)
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
