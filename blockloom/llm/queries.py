@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.mixing import mixing
 from blockloom.llm.packing import best_fit_packing
 from blockloom.llm.preference_chat import preference_pairs, rendered, trained_chars, weaker
+from blockloom.llm.prefix_forest import nearest
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.toxicity import severity, train
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 fine, 1 of poor quality, 2 toxic. Toxic is what more likely than not has grade 2."""
