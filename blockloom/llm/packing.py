@@ -16,6 +16,7 @@ they occur. Only documents over the capacity are cut; an empty table gives an em
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ NEARLY_FULL = 8  # tokens of room at most
 ITEMS_PER_TASK = 50_000
 LEAST_GAIN = 0.001  # a round that saves a smaller share of its bins is the last
 MEMBER = ["doc_id", "piece", "start", "length", "ids_crc32", "offset"]
-CACHED_CHARS = 16 << 20  # characters of remembered chunks per task; a full cache is emptied
+CACHED_CHARS = 8 << 20  # characters of remembered chunks per Python worker; a full cache is emptied
 
 
 def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
@@ -46,6 +47,7 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     import numpy as np
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     tokenizer = Tokenizer.from_str(spec)
     suffix = json.loads(spec)["model"].get("end_of_word_suffix")
     ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
@@ -102,6 +104,21 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+class SharedEncoder:
+    """An encoder to broadcast: each Python worker builds it once and keeps its words from task to task."""
+
+    def __init__(self, spec: str):
+        self.spec, self._encode = spec, None
+
+    def __getstate__(self):
+        return {"spec": self.spec, "_encode": None}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self._encode is None:
+            self._encode = encoder(self.spec)
+        return self._encode(texts)
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins of item numbers: largest item first, each into the fullest bin with room for it."""
     by_room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
@@ -163,11 +180,11 @@ def _in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def local_bins(docs: DataFrame, spec: str, capacity: int, end: int, id_col: str, text_col: str) -> DataFrame:
     """Bins of the pieces of `docs`, packed within each task: (used, members)."""
     narrow = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(SharedEncoder(spec))  # a vocabulary, whatever the corpus
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode = shared.value
         last = end.to_bytes(4, "little")
         step = 4 * capacity
         pieces: list[tuple] = []
