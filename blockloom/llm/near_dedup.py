@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import free_name, quoted, slices
+from blockloom.llm.common import WORD, free_name, quoted, slices
 from blockloom.llm.components import connected
 from blockloom.session import written
 
@@ -257,3 +257,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return rows.join(classes, ["key", "key2"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` (doc_id, text and more) without near-duplicates.
+
+    Of each component the document with the smallest id stays, of equal rows one; texts without words all stay.
+    """
+    _, classes = grouped(docs.select("doc_id", "text"), size, percent)
+    of, hash_of, text_hash = (free_name(docs, c) for c in ("of", "hash_of", "text_hash"))
+    keepers = classes.select(F.col("keeper.doc_id").alias(of), F.col("keeper.text_hash").alias(hash_of)).distinct()
+    has_words = F.coalesce(quoted("text").rlike(WORD), F.lit(False))
+    hashed = docs.filter(has_words).withColumn(text_hash, F.xxhash64(quoted("text")))
+    same = (F.col(text_hash) == F.col(hash_of)) & quoted("doc_id").cast("long").eqNullSafe(F.col(of))
+    kept = hashed.join(keepers, same, "left_semi").dropDuplicates(["doc_id", text_hash]).drop(text_hash)
+    return kept.unionByName(docs.filter(~has_words))

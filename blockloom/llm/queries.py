@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.llm.line_dedup import line_duplicates
 from blockloom.llm.mixing import mixing
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.packing import best_fit_packing
@@ -37,6 +38,11 @@ def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 fine, 1 of poor quality, 2 toxic. Toxic is what more likely than not has grade 2."""
