@@ -181,7 +181,7 @@ def mixed(docs: DataFrame, schedules=SCHEDULES, position: str | None = None, **s
     width = 1 << (HASH_BITS - MARK_BITS)
     part = F.shiftright(F.col(place), HASH_BITS - MARK_BITS).cast("int")
     low, high = (F.element_at(F.col(goal)["marks"], part + k) for k in (1, 2))
-    words = F.col(copy) * F.col(goal)["source_size"] + low + (high - low) * (F.col(place) % width) / width
+    words = F.col(copy) * F.col(goal)["source_size"] + low + (high - low) * ((F.col(place) % width) / width)
     share = F.least(words / F.col(goal)["target"], F.lit(1.0))
     ramps = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in schedules])
     ramp = F.element_at(ramps, (F.col(goal)["rank"] % len(schedules) + 1).cast("int"))
