@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.llm.common import WORD
 from blockloom.llm.line_dedup import line_duplicates
 from blockloom.llm.mixing import mixing
 from blockloom.llm.near_dedup import near_duplicates
 from blockloom.llm.packing import best_fit_packing
 from blockloom.llm.preference_chat import preference_pairs, rendered, trained_chars, weaker
 from blockloom.llm.prefix_forest import nearest
-from blockloom.llm.quality_rules import quality_rules
+from blockloom.llm.quality_rules import MAX_REPEAT_PERCENT, MEASURES, MIN_GROUP, MIN_WORDS, SPREADS, quality_rules
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.toxicity import severity, train
 from blockloom.llm.url_filters import LOWER, PATTERNS, UPPER, url_verdicts
@@ -191,3 +192,77 @@ SELECT page_id, host, path,
       THEN 'block' ELSE 'allow' END) AS verdict
 FROM h
 """
+
+
+ORACLES["op6_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+  FROM documents),
+x AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS times
+  FROM (SELECT rid, i, w[i:i + 4] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d))),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM x WHERE times > 1) GROUP BY rid),
+l AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY rid),
+c AS (
+  SELECT d.rid, doc_id, lang, source, len(w)::BIGINT AS n_words,
+    coalesce(list_sum([length(y) FOR y IN w]), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
+v AS (
+  {" UNION ALL ".join(
+      f"SELECT rid, lang, source, '{name}' AS measure, floor(1000 * {above} / {below})::BIGINT AS value, "
+      f"{least} AS least, {both} AS both_sides FROM b WHERE NOT base_failed"
+      for name, (below, above, both, least) in MEASURES.items())}),
+s AS (
+  SELECT *, greatest(length(bin(value)) - 7, 0) AS shift FROM v),
+g AS (
+  SELECT grouping(lang, source) AS level, lang, source, measure, least, both_sides, shift * 64 + (value >> shift) AS bin, count(*) AS n
+  FROM s GROUP BY GROUPING SETS ((lang, source, measure, least, both_sides, shift * 64 + (value >> shift)),
+    (lang, measure, least, both_sides, shift * 64 + (value >> shift)), (measure, least, both_sides, shift * 64 + (value >> shift)))),
+u AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM g),
+q AS (
+  SELECT level, lang, source, measure, least, both_sides, max(total) AS total,
+    min(CASE WHEN 4 * upto >= total THEN bin END) AS b1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS b3
+  FROM u GROUP BY ALL),
+f AS (
+  SELECT level, lang, source, measure, least, both_sides, total,
+    (b1 - 64 * greatest(b1 // 64 - 1, 0)) << greatest(b1 // 64 - 1, 0)::INTEGER AS q1,
+    (b3 - 64 * greatest(b3 // 64 - 1, 0)) << greatest(b3 // 64 - 1, 0)::INTEGER AS q3 FROM q),
+t AS (
+  SELECT o.lang, o.source, o.measure, o.least, o.both_sides,
+    CASE WHEN o.total >= {MIN_GROUP} THEN o.q1 WHEN m.total >= {MIN_GROUP} THEN m.q1 ELSE a.q1 END AS q1,
+    CASE WHEN o.total >= {MIN_GROUP} THEN o.q3 WHEN m.total >= {MIN_GROUP} THEN m.q3 ELSE a.q3 END AS q3
+  FROM f o JOIN f m ON m.level = 1 AND m.lang IS NOT DISTINCT FROM o.lang AND m.measure = o.measure
+    JOIN f a ON a.level = 3 AND a.measure = o.measure
+  WHERE o.level = 0),
+k AS (
+  SELECT rid, bool_and(value <= q3 + {SPREADS} * greatest(q3 - q1, t.least)
+    AND (NOT t.both_sides OR value >= q1 - {SPREADS} * greatest(q3 - q1, t.least))) AS inside
+  FROM v JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.measure = t.measure
+  GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(inside, true) AS kept
+FROM b LEFT JOIN k USING (rid)
+"""
+
+
+ORACLES["op7_near_dedup"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN [w] ELSE [w[i:i + 1] FOR i IN range(1, len(w))] END) AS k
+  FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+c AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.other = e.a)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
