@@ -87,7 +87,7 @@ def plan(sizes: DataFrame, **shares) -> DataFrame:
     `marks`, the words before each of 2^MARK_BITS equal parts of the places.
     """
     goals = targets(sizes, **shares)
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rounds = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0).cast("long"))
     goals = goals.withColumn("rounds", rounds).withColumn(
         "extra", F.col("target") - F.col("rounds") * F.col("source_size")
     )
@@ -182,7 +182,7 @@ def mixed(docs: DataFrame, schedules=SCHEDULES, position: str | None = None, **s
     part = F.shiftright(F.col(place), HASH_BITS - MARK_BITS).cast("int")
     low, high = (F.element_at(F.col(goal)["marks"], part + k) for k in (1, 2))
     words = F.col(copy) * F.col(goal)["source_size"] + low + (high - low) * ((F.col(place) % width) / width)
-    share = F.least(words / F.col(goal)["target"], F.lit(1.0))
+    share = F.least(F.try_divide(words, F.col(goal)["target"]), F.lit(1.0))
     ramps = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in schedules])
     ramp = F.element_at(ramps, (F.col(goal)["rank"] % len(schedules) + 1).cast("int"))
     begin, rise = ramp[0], ramp[1] - ramp[0]

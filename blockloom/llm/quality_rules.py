@@ -108,7 +108,7 @@ def base_failed(counts: Column) -> Column:
 
 def _value(counts: Column, name: str) -> Column:
     below, above, *_ = MEASURES[name]
-    return F.floor(1000 * counts[above] / counts[below]).cast("long")
+    return F.floor(F.try_divide(1000 * counts[above], counts[below])).cast("long")
 
 
 def sketches(counted: DataFrame, counts: str, lang_col: str, source_col: str) -> DataFrame:
