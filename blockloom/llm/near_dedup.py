@@ -7,10 +7,11 @@ sets agree in a coordinate with the chance of their Jaccard similarity, and the
 coordinates is concentrated around it. Equal bands of coordinates make candidates.
 
 Equal sets are one class, so exact copies are never paired. Within a bucket of equal bands every class is
-first checked against the bucket's smallest class only. Then, where a bucket still holds classes of more
+first checked against the bucket's centre only: the class that shares most buckets with most others, as the
+original of many variants does. Then, where a bucket still holds classes of more
 than one component, the classes outside its largest component are checked against those of other
 components; pairs whose sketches agree in too few coordinates to be similar are left out before (a similar
-pair falls below that bound with a chance under 1e-7). A large group of near copies is thus linked through
+pair falls below that bound with a chance under 1e-6). A large group of near copies is thus linked through
 few of its members, and no link that could join two components is left unchecked. Every link is confirmed
 on the full sets, centre by centre, a centre with many partners in several tasks.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import WORD, free_name, quoted, slices
@@ -34,7 +35,7 @@ from blockloom.session import written
 
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with a chance of 3e-6
 BINS = BANDS * ROWS
-LEAST_AGREEING = 0.59  # of the coordinates; 0.8 less more than six standard deviations
+LEAST_AGREEING = 0.64  # of the coordinates; 0.8 less five standard deviations
 PART = 500  # partners of a centre per task
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _VALUE_BITS = 46
@@ -136,6 +137,27 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array(close))
 
 
+def _longs(short: Column) -> Column:
+    """A short sketch as longs of eight coordinates each."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(BINS // 8 - 1)),
+        lambda k: F.conv(F.hex(short.substr(8 * k + 1, F.lit(8))), 16, -10).cast("long"),
+    )
+
+
+def _differing(left: Column, right: Column) -> Column:
+    """In how many coordinates two short sketches differ: bytes of their XOR that are not zero."""
+
+    def bytes_set(x: Column) -> Column:
+        for mask, shift in ((0x0F, 4), (0x03, 2), (0x01, 1)):
+            wide = F.lit(int.from_bytes(bytes([mask]) * 8, "big"))
+            x = x.bitwiseAND(wide).bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(wide))
+        return F.bit_count(x)
+
+    counts = F.zip_with(left, right, lambda a, b: bytes_set(a.bitwiseXOR(b)))
+    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+
 def _linked(size: int, percent: int):
     """Pairs (a, b) confirmed on full sets; rows come sorted by centre and part, the centre's text first."""
 
@@ -201,8 +223,12 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     classes = written(merged.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     members = classes.select("cls", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    members = written(members.join(buckets.select("band", "b"), "band"), "buckets")  # those that share a band
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(members.join(buckets, "band"), "buckets")  # those that share a band
+    degrees = members.groupBy("cls").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degrees, "cls").select("band", F.struct("degree", (-F.col("cls")).alias("cls")).alias("rank"))
+    centres = ranked.groupBy("band").agg((-F.max("rank")["cls"]).alias("b"))
+    members = written(members.join(centres, "band").select("band", "cls", "b"), "buckets")
     wanted = members.select("cls").distinct().join(classes.select("cls", "first.text_hash"), "cls")
     by_text = narrow.groupBy("text_hash").agg(F.first("text").alias("text"))
     texts = written(by_text.join(wanted, "text_hash").select("cls", "text"), "class-texts")
@@ -235,12 +261,20 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     placed = members.join(roots, "cls").select("band", "cls", "b", "root")
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
-    mixed = written(placed.join(main.filter("roots > 1").select("band", "main"), "band"), "mixed-buckets")
-    outside = mixed.filter("root <> main AND cls <> b").select("band", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    others = mixed.filter("cls <> b").select("band", F.col("cls").alias("b"), F.col("root").alias("root_b"), "main")
-    # Two outsiders meet once.
-    crossed = outside.join(others, "band").filter("root_a <> root_b AND (root_b = main OR a < b)").select("a", "b")
-    links = links.unionByName(_confirmed(similar(crossed), texts, size, percent))
+    mixed = placed.filter("cls <> b").join(main.filter("roots > 1").select("band", "main"), "band")
+    mixed = written(mixed.join(classes.select("cls", "n", _longs(F.col("short")).alias("short")), "cls"), "mixed-buckets")
+    side = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("cls", "root", "n", "short")]
+    outside = mixed.filter("root <> main").select("band", *side("a"))
+    allowed = (
+        (F.col("root_a") != F.col("root_b"))
+        & ((F.col("root_b") == F.col("main")) | (F.col("cls_a") < F.col("cls_b")))  # two outsiders meet once
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (_differing(F.col("short_a"), F.col("short_b")) <= (1 - LEAST_AGREEING) * BINS)
+    )
+    others = mixed.select(F.col("band").alias("same_band"), *side("b"), "main")
+    crossed = outside.join(others, (F.col("band") == F.col("same_band")) & allowed)
+    crossed = crossed.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    links = links.unionByName(_confirmed(written(crossed, "pairs"), texts, size, percent))
     roots = _components(links, classes)
 
     labelled = classes.select("cls", "key", "key2", "first").join(roots, "cls")
