@@ -173,39 +173,37 @@ def test_sketches_fill_every_coordinate_and_agree_by_similarity():
     assert abs(np.mean(agree) - 0.8) < 0.02
 
 
-def slow_lines(text):
-    plain = re.sub(r"[^\w\n]|_", " ", text.lower())
-    return [" ".join(line.split(" ")).strip() for line in re.sub(r" +", " ", plain).split("\n")]
+def slow_line(line):
+    return re.sub(r"([^\w]|_)+", " ", line.lower()).strip()
 
 
 def slow_simhash(line):
-    hashes = [xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
+    hashes = [xxh64_intdigest(w.encode(), 42) for w in line.split(" ") if len(w) >= 4]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def edits(a, b):
-    last = list(range(len(b) + 1))
+    other, at = np.array(list(b)), np.arange(len(b) + 1)
+    row = at
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        last = row
-    return last[-1]
+        step = np.concatenate([[i], np.minimum(row[:-1] + (other != x), row[1:] + 1)])
+        row = np.minimum.accumulate(step - at) + at
+    return int(row[-1])
 
 
 def brute_lines(rows):
     """Removed places by (id, text)."""
     places = defaultdict(set)
     for i, text in rows:
-        for pos, line in enumerate(slow_lines(text) if text else []):
-            if len(line.split(" ")) >= 5:
-                places[line].add((i is None, i, text, pos))
+        for pos, line in enumerate(text.split("\n") if text else []):
+            if line.count(" ") >= 4:
+                places[slow_line(line)].add((i is None, i, text, pos))
     lines = sorted(places)
     sims = {line: slow_simhash(line) for line in lines}
     links = [
         (a, b)
         for a, b in combinations(lines, 2)
-        if (sims[a] ^ sims[b]).bit_count() <= FLIPS and edits(a, b) <= max(len(a), len(b)) * 20 // 100
+        if sims[a] and sims[b] and (sims[a] ^ sims[b]).bit_count() <= FLIPS and edits(a, b) <= max(len(a), len(b)) * 20 // 100
     ]
     root = groups(lines, links)
     occurrences = defaultdict(set)
@@ -228,13 +226,13 @@ def line_rows():
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
     line = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
     popular = [line(12), line(30), line(150)]
-    long = line(200).split(" ")
+    long = line(120).split(" ")
     rows = []
-    for i in range(60):
+    for i in range(40):
         lines = [line(rng.randrange(2, 20)) for _ in range(rng.randrange(1, 5))]
         lines.insert(rng.randrange(len(lines) + 1), rng.choice(popular).upper() if i % 2 else rng.choice(popular))
         near = list(long)
-        near[rng.randrange(200)] = rng.choice(words)
+        near[rng.randrange(120)] = rng.choice(words)
         lines.append(" ".join(near))
         rows.append((i, "\n".join(lines)))
     rows += [(100, None), (101, ""), (102, "\n\n"), (None, rows[3][1]), (7, rows[7][1]), (103, popular[0] + "\n" + popular[0])]
@@ -253,7 +251,7 @@ def test_fuzzy_lines_against_brute_force(spark, line_rows):
         text = texts[r.doc_id][0]
         assert r.removed == sorted(want.get((r.doc_id, text), ())), r.doc_id
         assert r.n_removed == len(r.removed) and r.n_lines == (len(text.split("\n")) if text is not None else 0)
-    assert sum(r.n_removed for r in got) > 100
+    assert sum(r.n_removed for r in got) > 60
     clean = dedup_lines(docs)
     assert clean.columns == docs.columns
     for r in clean.collect():
