@@ -8,12 +8,14 @@ coordinates is concentrated around it. Equal bands of coordinates make candidate
 
 Equal sets are one class, so exact copies are never paired. Within a bucket of equal bands every class is
 first checked against the bucket's centre only: the class that shares most buckets with most others, as the
-original of many variants does. Then, where a bucket still holds classes of more
-than one component, the classes outside its largest component are checked against those of other
-components; pairs whose sketches agree in too few coordinates to be similar are left out before (a similar
-pair falls below that bound with a chance under 1e-6). A large group of near copies is thus linked through
-few of its members, and no link that could join two components is left unchecked. Every link is confirmed
-on the full sets, centre by centre, a centre with many partners in several tasks.
+original of many variants does. Where that leaves several components in a bucket, the classes outside the
+largest are checked against a few members of the largest, other ones in every bucket; pairs whose sketches
+agree in too few coordinates to be similar are left out before (a similar pair falls below that bound with a
+chance under 1e-6). Where a bucket still holds several components, its classes meet those of other
+components that share one of their rarest shingles early enough to be similar, which no similar pair fails. A
+large group of near copies is thus linked through few of its members, and no link that could join two
+components is left unchecked. Every link is confirmed on the full sets, centre by centre, a centre with many
+partners in several tasks.
 
 Null and empty texts, and those of white space alone, have no shingles and no links. Repeated ids get the
 component of each of their texts; a component's id is its smallest document id, null if none has one, and
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import WORD, free_name, quoted, slices
@@ -37,6 +39,7 @@ BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with a chance of
 BINS = BANDS * ROWS
 LEAST_AGREEING = 0.64  # of the coordinates; 0.8 less five standard deviations
 PART = 500  # partners of a centre per task
+PICKED = 3  # members of a bucket's largest component that others are checked against first
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _VALUE_BITS = 46
 _ROUND_BITS = 64 - _VALUE_BITS
@@ -137,25 +140,51 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array(close))
 
 
-def _longs(short: Column) -> Column:
-    """A short sketch as longs of eight coordinates each."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(BINS // 8 - 1)),
-        lambda k: F.conv(F.hex(short.substr(8 * k + 1, F.lit(8))), 16, -10).cast("long"),
-    )
-
+def _crossed(mixed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `mixed` (cls, root, outer) that may be similar and have different roots, one of them outer; written.
 
-def _differing(left: Column, right: Column) -> Column:
-    """In how many coordinates two short sketches differ: bytes of their XOR that are not zero."""
+    Shingles are ordered by how many of these classes hold them, rarest first. A set that is similar to
+    one of its size or more has one of its first n - 2p/(1+p) n + 1 shingles among the first n - p n + 1 of
+    that set. So sets that share only what is common, like a passage, never meet, and no pair is lost.
+    """
 
-    def bytes_set(x: Column) -> Column:
-        for mask, shift in ((0x0F, 4), (0x03, 2), (0x01, 1)):
-            wide = F.lit(int.from_bytes(bytes([mask]) * 8, "big"))
-            x = x.bitwiseAND(wide).bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(wide))
-        return F.bit_count(x)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            found = [shingles(t, size).view(np.int64) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["cls", "root", "outer", "items"]
+            )
 
-    counts = F.zip_with(left, right, lambda a, b: bytes_set(a.bitwiseXOR(b)))
-    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+    with_text = mixed.join(texts, "cls").select("cls", "root", "outer", "text")
+    sets = with_text.mapInArrow(run, "cls long, root long, outer boolean, items array<long>")
+    rows = written(sets.select("cls", "root", "outer", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    held = rows.groupBy("item").agg(F.count("*").alias("held")).filter("held > 1")
+    # A set's shingles that no other holds come before all others.
+    own = Window.partitionBy("cls").orderBy("held", "item")
+    common = F.count("*").over(Window.partitionBy("cls"))
+    ranked = rows.join(held, "item").withColumn("rank", F.col("n") - common + F.row_number().over(own))
+    ranked = ranked.withColumns(
+        {
+            "long": F.col("rank") <= F.col("n") - F.expr(f"int((n * {percent} + 99) div 100)") + 1,
+            "short": F.col("rank") <= F.col("n") - F.expr(f"int((n * {2 * percent} + {99 + percent}) div {100 + percent})") + 1,
+        }
+    )
+    ranked = written(ranked.filter("long").drop("held", "long"), "items")
+    side = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("cls", "root", "n", "rank")]
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
+    allowed = smaller & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+    # After their first common shingle enough must be left on both sides.
+    most = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+    allowed &= (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = None
+    for outer_end in ("a", "b"):  # a is the smaller set
+        left, right = ranked.filter("short"), ranked
+        left, right = (left.filter("outer"), right) if outer_end == "a" else (left, right.filter("outer"))
+        left, right = left.select("item", *side("a")), right.select(F.col("item").alias("same"), *side("b"))
+        met = left.join(right, (F.col("item") == F.col("same")) & allowed)
+        met = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        pairs = met if pairs is None else pairs.union(met)
+    return written(pairs.distinct(), "pairs")
 
 
 def _linked(size: int, percent: int):
@@ -253,28 +282,24 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         root = lambda end: roots.select(F.col("cls").alias(end), F.col("root").alias(f"root_{end}"))
         return pairs.join(root("a"), "a").join(root("b"), "b").filter("root_a <> root_b").select("a", "b")
 
-    more = _confirmed(similar(apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"))), texts, size, percent)
-    links = links.unionByName(more)
+    def mixed(roots: DataFrame) -> DataFrame:
+        """(band, cls, b, root, main) of the buckets that hold several components; `main` is the largest. Written."""
+        placed = members.join(roots, "cls").select("band", "cls", "b", "root")
+        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+        return written(placed.join(main.filter("roots > 1").select("band", "main"), "band"), "mixed-buckets")
+
+    buckets = mixed(roots)
+    picks = [F.min(F.struct(F.xxhash64("cls", "band", F.lit(k)), "cls"))["cls"] for k in range(PICKED)]
+    picked = buckets.filter("root = main").groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("picked"))
+    few = buckets.filter("root <> main").join(picked, "band").select(F.col("cls").alias("a"), F.explode("picked").alias("b"))
+    more = apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti").union(few).distinct())
+    links = links.unionByName(_confirmed(similar(more), texts, size, percent))
     roots = _components(links, classes)
 
-    # Buckets that still hold several components.
-    placed = members.join(roots, "cls").select("band", "cls", "b", "root")
-    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
-    mixed = placed.filter("cls <> b").join(main.filter("roots > 1").select("band", "main"), "band")
-    mixed = written(mixed.join(classes.select("cls", "n", _longs(F.col("short")).alias("short")), "cls"), "mixed-buckets")
-    side = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("cls", "root", "n", "short")]
-    outside = mixed.filter("root <> main").select("band", *side("a"))
-    allowed = (
-        (F.col("root_a") != F.col("root_b"))
-        & ((F.col("root_b") == F.col("main")) | (F.col("cls_a") < F.col("cls_b")))  # two outsiders meet once
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (_differing(F.col("short_a"), F.col("short_b")) <= (1 - LEAST_AGREEING) * BINS)
-    )
-    others = mixed.select(F.col("band").alias("same_band"), *side("b"), "main")
-    crossed = outside.join(others, (F.col("band") == F.col("same_band")) & allowed)
-    crossed = crossed.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    links = links.unionByName(_confirmed(written(crossed, "pairs"), texts, size, percent))
+    buckets = mixed(roots)
+    apart_yet = buckets.groupBy("cls", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("outer"))
+    links = links.unionByName(_confirmed(_crossed(apart_yet, texts, size, percent), texts, size, percent))
     roots = _components(links, classes)
 
     labelled = classes.select("cls", "key", "key2", "first").join(roots, "cls")
