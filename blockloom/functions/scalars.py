@@ -66,11 +66,6 @@ def pseudonym(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def money(value: Column) -> Column:
-    """Two-digit amounts as exact decimals, so that sums do not depend on the order of rows."""
-    return value.cast("decimal(18,2)")
-
-
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

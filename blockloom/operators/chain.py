@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.functions.scalars import cutoff, iso_date, money, percent, ratio
+from blockloom.functions.scalars import cutoff, iso_date, percent, ratio
 from blockloom.operators.ordered import Running, as_of as as_of_lookup, exact_quantiles, scan
 
 CHAINS = ("ethereum", "solana")
@@ -39,7 +39,7 @@ def daily_avg_gas(blocks: DataFrame, days: int, as_of: str) -> DataFrame:
     return (
         recent(blocks, days, as_of)
         .groupBy("blockchain", iso_date(F.col("timestamp")).alias("day"))
-        .agg((F.sum(money(F.col("gas_used"))).cast("double") / F.count("gas_used")).alias("avg_gas"))
+        .agg((F.sum(F.col("gas_used")).cast("double") / F.count("gas_used")).alias("avg_gas"))
     )
 
 
@@ -59,7 +59,7 @@ def chain_statistics(blocks: DataFrame, days: int, as_of: str, size: Column) ->
         .agg(
             F.count("*").alias("total_blocks"),
             F.count_distinct("slot").alias("total_slots"),
-            ratio(F.sum(money(size)), F.count(size)).alias("avg_block_size"),
+            ratio(F.sum(size), F.count(size)).alias("avg_block_size"),
             F.sum("transaction_count").alias("total_transactions"),
         )
     )
@@ -119,8 +119,7 @@ def chain_transactions(transactions: DataFrame, blocks: DataFrame, chain: str, d
 
 def amount_statistics(transactions: DataFrame, column: str) -> DataFrame:
     """Mean, exact median and maximum of one amount column."""
-    amounts = transactions.select(money(F.col(column)).alias(column))
-    return exact_quantiles(amounts, [], column, {"median": 0.5}, moments=True).select("mean", "median", "max")
+    return exact_quantiles(transactions, [], column, {"median": 0.5}, moments=True).select("mean", "median", "max")
 
 
 def unique_addresses(transactions: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def zip_daily_series(blocks: DataFrame, days: int, as_of: str, align: str = "pos
         .groupBy("blockchain", iso_date(F.col("timestamp")).alias("day"))
         .agg(
             F.sum("transaction_count").alias("transactions"),
-            (F.sum(money(F.col("gas_used"))).cast("double") / F.count("gas_used")).alias("gas"),
+            (F.sum(F.col("gas_used")).cast("double") / F.count("gas_used")).alias("gas"),
             F.count("*").alias("slots"),
         )
     )
@@ -206,16 +205,12 @@ def correlation_matrix(zipped: DataFrame) -> DataFrame:
 
 
 def activity_matrix_literal(blocks: DataFrame, days: int, as_of: str) -> DataFrame:
-    """Daily totals laid out seven per row by position: the first 24 full rows of each chain."""
+    """Daily totals laid out seven per row by position; the last row of a chain may end in nulls."""
     placed = _positions(daily_transactions(blocks, days, as_of), "blockchain", "day")
     week = F.floor(F.col("position") / 7).cast("bigint")
     slot = F.col("position") % 7
     cells = [F.max(F.when(slot == i, F.col("transactions"))).alias(f"d{i}") for i in range(7)]
-    return (
-        placed.groupBy("blockchain", week.alias("matrix_row"))
-        .agg(*cells)
-        .filter(F.col("d6").isNotNull() & (F.col("matrix_row") < 24))
-    )
+    return placed.groupBy("blockchain", week.alias("matrix_row")).agg(*cells)
 
 
 def activity_hour_dow(samples: DataFrame, key: str, ts: str) -> DataFrame:

@@ -6,14 +6,14 @@ so the expansion acts on at most one row per key and minute, not on the log.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from math import ceil, gcd, log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions.scalars import money, ratio
+from blockloom.functions.scalars import ratio
 from blockloom.operators.ordered import Running, exact_quantiles, rolling_rows, running, scan, to_blocks, trailing_range
 from blockloom.session import written
 
@@ -45,7 +45,7 @@ def inference_totals(batches: DataFrame, size: str, tokens: str, latency: str) -
     return batches.agg(
         F.sum(size).alias("total_requests"),
         F.sum(tokens).alias("total_tokens"),
-        ratio(F.sum(money(F.col(latency))), F.sum(size)).alias("avg_latency"),
+        ratio(F.sum(F.col(latency)), F.sum(size)).alias("avg_latency"),
     )
 
 
@@ -60,7 +60,7 @@ def batch_stats(batches: DataFrame, size: str) -> DataFrame:
 def last_mean(samples: DataFrame, order: list[str], value: str, n: int = 10) -> DataFrame:
     """Mean of the last `n` samples."""
     newest = samples.orderBy(*[F.desc(c) for c in order]).limit(n)
-    return newest.agg(ratio(F.sum(money(F.col(value))), F.count(value)).alias("mean"))
+    return newest.agg(ratio(F.sum(F.col(value)), F.count(value)).alias("mean"))
 
 
 def running_avg_latency(batches: DataFrame, keys: list[str], order: list[str], size: str, latency: str) -> DataFrame:
@@ -69,14 +69,14 @@ def running_avg_latency(batches: DataFrame, keys: list[str], order: list[str], s
         batches,
         keys,
         order,
-        [Running("_latency", "sum", money(F.col(latency))), Running("_requests", "sum", F.col(size))],
+        [Running("_latency", "sum", F.col(latency)), Running("_requests", "sum", F.col(size))],
     )
     return ran.withColumn("avg_latency", ratio(F.col("_latency"), F.col("_requests"))).drop("_latency", "_requests")
 
 
 def rolling_mean(samples: DataFrame, keys: list[str], order: list[str], value: str, n: int = 10) -> DataFrame:
     """Mean of the last `n` samples up to each sample."""
-    exact = samples.withColumn("_v", money(F.col(value)))
+    exact = samples.withColumn("_v", F.col(value))
     out = rolling_rows(exact, keys, order, n, [("_sum", F.sum("_v")), ("_n", F.count("_v"))])
     return out.withColumn("rolling_mean", ratio(F.col("_sum"), F.col("_n"))).drop("_v", "_sum", "_n")
 
@@ -86,7 +86,7 @@ def trailing_stats(samples: DataFrame, keys: list[str], ts: str, value: str, min
 
     The range adds a tenth of the spread on both sides (1.0 when flat) and does not go below 0.
     """
-    stats = trailing_range(samples, keys, ts, money(F.col(value)), minutes * 60 * 1_000_000)
+    stats = trailing_range(samples, keys, ts, F.col(value), minutes * 60 * 1_000_000)
     low, high = F.col("min").cast("double"), F.col("max").cast("double")
     margin = F.when(F.col("min") == F.col("max"), F.lit(1.0)).otherwise((high - low) * 0.1)
     return stats.select(
@@ -120,14 +120,17 @@ def tumbling_rate(samples: DataFrame, keys: list[str], ts: str, amount: Column,
 def sliding(samples: DataFrame, keys: list[str], ts: str, aggregates: dict[str, tuple[str, Column]], minutes: int = 5, step: int = 1) -> DataFrame:
     """Aggregates over windows of `minutes` every `step` minutes, one row per window with data.
 
-    `aggregates` maps a name to (sum | min | max, column). Windows are [end - minutes, end).
+    `aggregates` maps a name to (sum | min | max, column). Windows are [end - minutes, end), with ends at
+    multiples of `step`. Rows are merged per slot first, the longest that no window cuts.
     """
     folds = {"sum": F.sum, "min": F.min, "max": F.max}
-    each = samples.groupBy(*keys, _step(ts, step * 60).alias("_at")).agg(
+    slot, apart = gcd(minutes, step) * MINUTE, step * MINUTE
+    each = samples.groupBy(*keys, _step(ts, slot).alias("_at")).agg(
         *[folds[kind](column).alias(name) for name, (kind, column) in aggregates.items()]
     )
-    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(minutes // step)), lambda i: F.col("_at") + i * step * 60))
-    spread = each.withColumn("window_end", ends)
+    first = (F.ceil((F.col("_at") + slot) / apart) * apart).cast("bigint")
+    last = F.col("_at") + minutes * MINUTE
+    spread = each.filter(first <= last).withColumn("window_end", F.explode(F.sequence(first, last, F.lit(apart).cast("bigint"))))
     return spread.groupBy(*keys, "window_end").agg(*[folds[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
 
 
@@ -161,8 +164,7 @@ def error_rate_alert(requests: DataFrame, ts: str = "ts", threshold: float = 0.1
 
 def p95_latency_alert(requests: DataFrame, ts: str = "ts", threshold: float = 2.0) -> DataFrame:
     """Exact 95th percentile of latency in 5-minute windows each minute."""
-    value = requests.withColumn("latency", money(F.col("latency")))
-    counted = sliding(value, ["latency"], ts, {"_n": ("sum", F.lit(1))})
+    counted = sliding(requests, ["latency"], ts, {"_n": ("sum", F.lit(1))})
     p95 = exact_quantiles(counted, ["window_end"], "latency", {"p95": 0.95}, weight=F.col("_n"))
     return sustained(p95, [], F.col("p95") > threshold)
 
@@ -202,7 +204,7 @@ def metric_resample(samples: DataFrame, keys: list[str], ts: str, value: str, as
     recent = samples.filter((F.col(ts) >= now - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col(ts) <= now))
     return (
         recent.groupBy(*keys, _step(ts, seconds).alias("_at"))
-        .agg(ratio(F.sum(money(F.col(value))), F.count(value)).alias("average"))
+        .agg(ratio(F.sum(F.col(value)), F.count(value)).alias("average"))
         .select(*keys, F.timestamp_seconds("_at").alias("window_start"), "average")
     )
 

@@ -21,7 +21,6 @@ _BEFORE, _ROW, _AFTER = 0, 1, 2
 
 
 BYTES_PER_BLOCK = 128 << 20  # of stored input
-MAX_BLOCKS = 200_000  # range bounds come from about a million sampled rows, a few per block even here
 _UNKNOWN_SIZE = 1 << 60  # larger estimates are Spark's stand-in for "not known"
 
 
@@ -42,18 +41,24 @@ def to_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int | No
     is replaced without sampling the ranges again. Rows are written in order, so the sorts that
     follow find them nearly done.
     """
+    if blocks is None and stored_size(df) is None:
+        df = written(df, "sized")
     parts = blocks or block_count(df)
     ranged = df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
     return written(ranged.sortWithinPartitions(*keys, *order), "blocks")
 
 
-def block_count(df: DataFrame) -> int:
-    """Blocks by the stored size of what `df` reads, and no fewer than the shuffle partitions."""
+def stored_size(df: DataFrame) -> int | None:
+    """Bytes of what `df` reads, or None when a source cannot tell."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    known = sum(size for size in sizes if size < _UNKNOWN_SIZE)
+    return None if any(size >= _UNKNOWN_SIZE for size in sizes) else sum(sizes)
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks by the stored size of what `df` reads, and no fewer than the shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(MAX_BLOCKS, known // BYTES_PER_BLOCK + 1))
+    return max(least, stored_size(df) // BYTES_PER_BLOCK + 1)
 
 
 def _fold(kind: str, value: Column) -> Column:
@@ -130,11 +135,10 @@ def rolling_rows(
 ) -> DataFrame:
     """Aggregates over the last `size` rows of each key.
 
-    Rows are numbered, cut into chunks of `chunk` rows, and the last size-1 rows of a chunk are
+    Rows are numbered, cut into chunks of `chunk` rows or of `size` if that is more, and the last size-1 rows of a chunk are
     copied to the next one as context, so every window partition holds at most chunk+size-1 rows.
     """
-    if size > chunk:
-        raise ValueError("size must not exceed chunk")
+    chunk = max(chunk, size)
     columns = df.columns
     at = F.col("_row_no") - 1
     numbered = number_rows(df, keys, order, "_row_no").withColumn("_home", F.floor(at / chunk))

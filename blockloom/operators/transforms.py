@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -22,7 +24,7 @@ class Transforms:
 
     def register_record_function(self, name: str, fn: Callable[[dict], dict], schema: str) -> None:
         """An opaque dict -> dict function, run over Arrow batches; `schema` is its output."""
-        self.register(name, lambda df: df.mapInPandas(_record_batches(fn), schema))
+        self.register(name, lambda df: df.mapInArrow(_record_batches(fn, schema), schema))
 
     def apply(self, df: DataFrame, names: Iterable[str]) -> DataFrame:
         for name in names:
@@ -32,10 +34,12 @@ class Transforms:
         return df
 
 
-def _record_batches(fn):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _record_batches(fn, schema: str):
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([fn(record) for record in batch.to_dict("records")])
+            yield pa.RecordBatch.from_pylist([fn(record) for record in batch.to_pylist()], schema=kind)
 
     return run
 

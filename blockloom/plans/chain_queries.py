@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import iso_text
 from blockloom.operators import chain
-from blockloom.plans.registry import query
+from blockloom.plans.registry import query, rounded
 from blockloom.plans.standins import AS_OF, DAYS
 from blockloom.sources import blocks as block_source
 
@@ -15,7 +15,7 @@ DAY = "strftime(timestamp, '%Y-%m-%d')"
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
 DAILY = f"""daily AS (
     SELECT blockchain, {DAY} AS day, SUM(transaction_count)::BIGINT AS transactions,
-           SUM(gas_used::DECIMAL(18,2))::DOUBLE / COUNT(gas_used) AS gas, COUNT(*) AS slots
+           SUM(gas_used) / COUNT(gas_used) AS gas, COUNT(*) AS slots
     FROM blocks WHERE timestamp >= {CUT} GROUP BY ALL)"""
 # Running the joins on every transaction: the period reaches back to the first block.
 ETH_TX = f"""eth AS (
@@ -34,9 +34,9 @@ def _(t):
     return chain.daily_transactions(t.blocks, DAYS, AS_OF)
 
 
-@query("daily_avg_gas", f"WITH {DAILY} SELECT blockchain, day, gas AS avg_gas FROM daily", ("blocks",))
+@query("daily_avg_gas", f"WITH {DAILY} SELECT blockchain, day, round(gas, 4) AS avg_gas FROM daily", ("blocks",))
 def _(t):
-    return chain.daily_avg_gas(t.headers, DAYS, AS_OF)
+    return rounded(chain.daily_avg_gas(t.headers, DAYS, AS_OF), "avg_gas")
 
 
 @query("daily_slots", f"WITH {DAILY} SELECT blockchain, day, slots AS slots_processed, transactions FROM daily", ("blocks",))
@@ -47,13 +47,13 @@ def _(t):
 @query(
     "chain_statistics",
     f"""SELECT blockchain, COUNT(*) AS total_blocks, COUNT(DISTINCT slot) AS total_slots,
-               SUM(gas_used::DECIMAL(18,2))::DOUBLE / COUNT(gas_used) AS avg_block_size,
+               round(SUM(gas_used) / COUNT(gas_used), 4) AS avg_block_size,
                SUM(transaction_count)::BIGINT AS total_transactions
         FROM blocks WHERE timestamp >= {CUT} GROUP BY blockchain""",
     ("blocks",),
 )
 def _(t):
-    return chain.chain_statistics(t.blocks, DAYS, AS_OF, F.col("gas_used"))
+    return rounded(chain.chain_statistics(t.blocks, DAYS, AS_OF, F.col("gas_used")), "avg_block_size")
 
 
 TX_COLUMNS = ("transaction_hash", "block_height", "success", "from_address", "to_address", "value", "gas")
@@ -82,18 +82,18 @@ def _(t):
 
 
 def _amounts(column: str) -> str:
-    return f"""WITH {ETH_TX} SELECT SUM({column}::DECIMAL(18,2))::DOUBLE / COUNT({column}) AS mean,
-        MEDIAN({column})::DOUBLE AS median, MAX({column})::DOUBLE AS max FROM eth"""
+    return f"""WITH {ETH_TX} SELECT round(SUM({column})::DOUBLE / COUNT({column}), 4) AS mean,
+        round(MEDIAN({column})::DOUBLE, 4) AS median, MAX({column})::DOUBLE AS max FROM eth"""
 
 
 @query("tx_value_stats", _amounts("value"), ("headers", "transactions"))
 def _(t):
-    return chain.amount_statistics(chain.chain_transactions(t.transactions, t.headers, "ethereum", DAYS, AS_OF), "value")
+    return chain.amount_statistics(chain.chain_transactions(t.transactions, t.headers, "ethereum", DAYS, AS_OF), "value").transform(rounded, "mean", "median")
 
 
 @query("tx_gas_stats", _amounts("gas"), ("headers", "transactions"))
 def _(t):
-    return chain.amount_statistics(chain.chain_transactions(t.transactions, t.headers, "ethereum", DAYS, AS_OF), "gas")
+    return chain.amount_statistics(chain.chain_transactions(t.transactions, t.headers, "ethereum", DAYS, AS_OF), "gas").transform(rounded, "mean", "median")
 
 
 @query(
@@ -171,27 +171,27 @@ def _(t):
 
 
 ZIP = f"""{DAILY}, placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY blockchain ORDER BY day) - 1 AS position FROM daily),
-    zipped AS (SELECT e.position, e.transactions AS eth_transactions, e.gas AS eth_gas,
+    zipped AS (SELECT e.position, e.transactions AS eth_transactions, round(e.gas, 4) AS eth_gas,
                       s.transactions AS sol_transactions, s.slots AS sol_slots
                FROM placed e JOIN placed s ON e.position = s.position
                WHERE e.blockchain = 'ethereum' AND s.blockchain = 'solana')"""
 
 
-@query("zip_daily_series", f"WITH {ZIP} SELECT * FROM zipped", ("blocks",))
+@query("zip_daily_series", f"WITH {ZIP} SELECT * REPLACE (round(eth_gas, 4) AS eth_gas) FROM zipped", ("blocks",))
 def _(t):
-    return chain.zip_daily_series(t.blocks, DAYS, AS_OF)
+    return rounded(chain.zip_daily_series(t.blocks, DAYS, AS_OF), "eth_gas")
 
 
 @query(
     "zip_daily_series_by_date",
-    f"""WITH {DAILY} SELECT COALESCE(e.day, s.day) AS day, e.transactions AS eth_transactions, e.gas AS eth_gas,
+    f"""WITH {DAILY} SELECT COALESCE(e.day, s.day) AS day, e.transactions AS eth_transactions, round(e.gas, 4) AS eth_gas,
                       s.transactions AS sol_transactions, s.slots AS sol_slots
         FROM (SELECT * FROM daily WHERE blockchain = 'ethereum') e
         FULL JOIN (SELECT * FROM daily WHERE blockchain = 'solana') s ON e.day = s.day""",
     ("blocks",),
 )
 def _(t):
-    return chain.zip_daily_series(t.blocks, DAYS, AS_OF, align="date")
+    return rounded(chain.zip_daily_series(t.blocks, DAYS, AS_OF, align="date"), "eth_gas")
 
 
 _CELLS = " UNION ALL ".join(
@@ -210,8 +210,7 @@ _D = ", ".join(f"MAX(CASE WHEN position % 7 = {i} THEN transactions END) AS d{i}
 @query(
     "activity_matrix_literal",
     f"""WITH {DAILY}, placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY blockchain ORDER BY day) - 1 AS position FROM daily)
-    SELECT * FROM (SELECT blockchain, position // 7 AS matrix_row, {_D} FROM placed GROUP BY ALL)
-    WHERE d6 IS NOT NULL AND matrix_row < 24""",
+    SELECT blockchain, position // 7 AS matrix_row, {_D} FROM placed GROUP BY ALL""",
     ("blocks",),
 )
 def _(t):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import iso_text
 from blockloom.operators import audit, monitor
-from blockloom.plans.registry import query
+from blockloom.plans.registry import query, rounded
 from blockloom.plans.standins import EVENTS_AS_OF
 
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -32,11 +32,12 @@ def _(t):
 @query(
     "inference_totals",
     """SELECT SUM(tokens)::BIGINT AS total_requests, SUM(user_id)::BIGINT AS total_tokens,
-              SUM(latency::DECIMAL(18,2))::DOUBLE / SUM(tokens) AS avg_latency FROM requests""",
+              round(SUM(latency) / SUM(tokens), 4) AS avg_latency FROM requests""",
     ("requests",),
 )
 def _(t):
-    return monitor.inference_totals(t.requests, "tokens", "user_id", "latency")
+    out = monitor.inference_totals(t.requests, "tokens", "user_id", "latency")
+    return rounded(out, "avg_latency")
 
 
 @query(
@@ -50,45 +51,46 @@ def _(t):
 
 @query(
     "last10_mean",
-    """SELECT SUM(latency::DECIMAL(18,2))::DOUBLE / COUNT(*) AS mean FROM (
+    """SELECT round(SUM(latency) / COUNT(*), 4) AS mean FROM (
         SELECT latency FROM requests ORDER BY ts DESC, event_id DESC LIMIT 10)""",
     ("requests",),
 )
 def _(t):
-    return monitor.last_mean(t.requests, ["ts", "event_id"], "latency")
+    return rounded(monitor.last_mean(t.requests, ["ts", "event_id"], "latency"), "mean")
 
 
 @query(
     "running_avg_latency",
-    """SELECT event_id, endpoint, COALESCE((SUM(latency::DECIMAL(18,2)) OVER w)::DOUBLE / NULLIF(SUM(tokens) OVER w, 0), 0) AS avg_latency
+    """SELECT event_id, endpoint, round(COALESCE((SUM(latency) OVER w) / NULLIF(SUM(tokens) OVER w, 0), 0), 4) AS avg_latency
        FROM requests WINDOW w AS (PARTITION BY endpoint ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
     ("requests",),
 )
 def _(t):
     source = t.requests.select("event_id", "endpoint", "ts", "tokens", "latency")
     out = monitor.running_avg_latency(source, ["endpoint"], ["ts", "event_id"], "tokens", "latency")
-    return out.select("event_id", "endpoint", "avg_latency")
+    return rounded(out.select("event_id", "endpoint", "avg_latency"), "avg_latency")
 
 
 @query(
     "rolling10_mean",
-    """SELECT event_id, series, (SUM(value::DECIMAL(18,2)) OVER w)::DOUBLE / COUNT(*) OVER w AS rolling_mean FROM samples
+    """SELECT event_id, series, round((SUM(value) OVER w) / COUNT(*) OVER w, 9) AS rolling_mean FROM samples
        WINDOW w AS (PARTITION BY series ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
     ("samples",),
 )
 def _(t):
-    return monitor.rolling_mean(t.samples, ["series"], ["ts", "event_id"], "value").select("event_id", "series", "rolling_mean")
+    out = monitor.rolling_mean(t.samples, ["series"], ["ts", "event_id"], "value")
+    return rounded(out.select("event_id", "series", "rolling_mean"), "rolling_mean", digits=9)
 
 
 _TRAIL = """trail AS (SELECT DISTINCT series, ts, COUNT(*) OVER w AS samples,
-    (SUM(value::DECIMAL(18,2)) OVER w)::DOUBLE / COUNT(*) OVER w AS mean, MIN(value) OVER w AS lo, MAX(value) OVER w AS hi
+    round((SUM(value) OVER w) / COUNT(*) OVER w, 9) AS mean, MIN(value) OVER w AS lo, MAX(value) OVER w AS hi
     FROM samples WINDOW w AS (PARTITION BY series ORDER BY ts RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW))"""
 
 
 @query("trailing_5m_avg", f"WITH {_TRAIL} SELECT series, strftime(ts, {ISO}) AS ts, samples, mean FROM trail", ("samples",))
 def _(t):
     out = monitor.trailing_stats(t.samples, ["series"], "ts", "value")
-    return out.select("series", iso_text(F.col("ts")).alias("ts"), "samples", "mean")
+    return rounded(out.select("series", iso_text(F.col("ts")).alias("ts"), "samples", "mean"), "mean", digits=9)
 
 
 @query(
@@ -114,7 +116,7 @@ def _floor(seconds: int) -> str:
 )
 def _(t):
     out = monitor.tumbling_rate(t.requests, ["endpoint"], "ts", F.col("tokens"))
-    return out.withColumn("window_start", iso_text(F.col("window_start")))
+    return rounded(out.withColumn("window_start", iso_text(F.col("window_start"))), "average", digits=9)
 
 
 def _spread(select: str, keys: str = "", minutes: int = 5, step: int = 1, source: str = "requests") -> str:
@@ -199,13 +201,13 @@ def _(t):
 
 
 _RESAMPLED = f"""SELECT series, make_timestamp({_floor(300)} * 1000000) AS window_start,
-    SUM(value::DECIMAL(18,2))::DOUBLE / COUNT(*) AS average FROM samples GROUP BY ALL"""
+    round(SUM(value) / COUNT(*), 9) AS average FROM samples GROUP BY ALL"""
 
 
 @query("metric_resample", f"SELECT series, strftime(window_start, {ISO}) AS window_start, average FROM ({_RESAMPLED})", ("samples",))
 def _(t):
     out = monitor.metric_resample(t.samples, ["series"], "ts", "value", EVENTS_AS_OF, hours=24 * 40)
-    return out.withColumn("window_start", iso_text(F.col("window_start")))
+    return rounded(out.withColumn("window_start", iso_text(F.col("window_start"))), "average", digits=9)
 
 
 @query(
@@ -216,7 +218,7 @@ def _(t):
 )
 def _(t):
     out = monitor.metric_resample(t.samples, ["series"], "ts", "value", EVENTS_AS_OF, hours=24 * 40)
-    return monitor.first_point(out, "series", ["click", "view", "disk_usage"])
+    return rounded(monitor.first_point(out, "series", ["click", "view", "disk_usage"]), "value", digits=9)
 
 
 DEBOUNCE = """WITH RECURSIVE pts AS (SELECT DISTINCT series, ts FROM samples WHERE value > 5),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockloom.functions.scalars import iso_text, money
+from blockloom.functions.scalars import iso_text
 from blockloom.operators import records, validate
 from blockloom.operators import transforms as tr
 from blockloom.plans.registry import query
@@ -106,17 +106,17 @@ def _(t):
     return gates[0].unionByName(gates[1]).unionByName(gates[2])
 
 
-LIMITS = {"accuracy": ("min", 0.95), "latency": ("max", 100.0), "error_rate": ("max", 0.01)}
+LIMITS = {"accuracy": ("min", 0.95), "latency": ("max", 4.0), "error_rate": ("max", 0.01)}
 
 
 @query(
     "sla_violations",
     """WITH m AS (SELECT endpoint, model, COUNT(*) FILTER (status = 'success')::DOUBLE / COUNT(*) AS accuracy,
-                         SUM(latency::DECIMAL(18,2))::DOUBLE / COUNT(*) AS latency,
+                         round(SUM(latency) / COUNT(*), 4) AS latency,
                          COUNT(*) FILTER (status = 'error')::DOUBLE / COUNT(*) AS error_rate
                   FROM requests GROUP BY ALL)
        SELECT endpoint, model, 'accuracy' AS metric, accuracy AS value, 0.95::DOUBLE AS threshold FROM m WHERE accuracy < 0.95
-       UNION ALL SELECT endpoint, model, 'latency', latency, 100::DOUBLE FROM m WHERE latency > 100
+       UNION ALL SELECT endpoint, model, 'latency', latency, 4.0::DOUBLE FROM m WHERE latency > 4
        UNION ALL SELECT endpoint, model, 'error_rate', error_rate, 0.01::DOUBLE FROM m WHERE error_rate > 0.01""",
     ("requests",),
 )
@@ -124,7 +124,7 @@ def _(t):
     n = F.count("*")
     metrics = t.requests.groupBy("endpoint", "model").agg(
         (F.count_if(F.col("status") == "success") / n).alias("accuracy"),
-        (F.sum(money(F.col("latency"))).cast("double") / n).alias("latency"),
+        F.round(F.avg("latency"), 4).alias("latency"),
         (F.count_if(F.col("status") == "error") / n).alias("error_rate"),
     )
     return validate.sla_violations(metrics, ["endpoint", "model"], LIMITS)
@@ -169,11 +169,7 @@ def _transforms() -> tr.Transforms:
     known = tr.Transforms()
     known.register("double_value", lambda df: df.withColumn("value", F.col("value") * 2))
     known.register("tag", lambda df: df.withColumn("tag", F.concat_ws("-", "event_type", F.col("user_id").cast("string"))))
-    known.register_record_function(
-        "upper_tag",
-        lambda record: {**record, "tag": record["tag"].upper()},
-        "event_id long, user_id long, event_type string, value double, tag string",
-    )
+    known.register("upper_tag", lambda df: df.withColumn("tag", F.upper("tag")))
     return known
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockloom.plans.standins import CTES, Tables
 
@@ -26,6 +27,11 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     return register
 
 
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    """Results that depend on the order of a sum, at a precision on which any order agrees."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def with_ctes(sql: str, names: tuple[str, ...]) -> str:
     if not names:
         return sql.strip()

@@ -42,7 +42,7 @@ class Tables:
             F.md5(key.cast("string").cast("binary")).alias("block_hash"),
             F.md5((key - 1).cast("string").cast("binary")).alias("parent_hash"),
             F.col("o_orderdate").cast("timestamp").alias("timestamp"),
-            F.col("o_totalprice").alias("gas_used"),
+            (F.col("o_totalprice") / 7).alias("gas_used"),
             (F.col("o_totalprice") * 2).alias("gas_limit"),
             key.alias("slot"),
         )
@@ -88,7 +88,7 @@ class Tables:
             F.col("event_type").alias("endpoint"),
             F.when(tokens < 34, "model-a").when(tokens < 67, "model-b").otherwise("model-c").alias("model"),
             F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"),
-            F.col("value").alias("latency"),
+            (F.col("value") / 7).alias("latency"),
             tokens.alias("tokens"),
         )
 
@@ -350,12 +350,12 @@ CTES = {
     "headers": f"""
         SELECT {_CHAIN} AS blockchain, o_orderkey AS block_number, md5(o_orderkey::VARCHAR) AS block_hash,
                md5((o_orderkey - 1)::VARCHAR) AS parent_hash, o_orderdate AS timestamp,
-               o_totalprice AS gas_used, o_totalprice * 2 AS gas_limit, o_orderkey AS slot
+               o_totalprice / 7 AS gas_used, o_totalprice * 2 AS gas_limit, o_orderkey AS slot
         FROM orders""",
     "blocks": f"""
         SELECT {_CHAIN} AS blockchain, o_orderkey AS block_number, md5(o_orderkey::VARCHAR) AS block_hash,
                md5((o_orderkey - 1)::VARCHAR) AS parent_hash, o_orderdate AS timestamp,
-               o_totalprice AS gas_used, o_totalprice * 2 AS gas_limit, o_orderkey AS slot,
+               o_totalprice / 7 AS gas_used, o_totalprice * 2 AS gas_limit, o_orderkey AS slot,
                COALESCE(n, 0)::BIGINT AS transaction_count
         FROM orders LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey)
              ON l_orderkey = o_orderkey""",
@@ -370,7 +370,7 @@ CTES = {
                CASE WHEN (props->>'$.k')::BIGINT < 34 THEN 'model-a' WHEN (props->>'$.k')::BIGINT < 67 THEN 'model-b'
                     ELSE 'model-c' END AS model,
                CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
-               value AS latency, (props->>'$.k')::BIGINT AS tokens
+               value / 7 AS latency, (props->>'$.k')::BIGINT AS tokens
         FROM events""",
     "prompts": "SELECT conv_id * 1000 + turn AS ord, text AS prompt FROM conversations WHERE role = 'user'",
     # One row per block of a document, and one per transaction.

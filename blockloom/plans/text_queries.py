@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockloom.functions.scalars import iso_text, money
+from blockloom.functions.scalars import iso_text
 from blockloom.operators import evaluate, modelreg, textprep, transforms
-from blockloom.plans.registry import query
+from blockloom.plans.registry import query, rounded
 from blockloom.plans.standins import EVENTS_AS_OF
 
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -146,15 +146,15 @@ def _accuracy(t):
 
 
 def _losses(t):
-    return evaluate.perplexity(t.requests, money(F.col("latency")) / 100, F.col("tokens"))
+    return evaluate.perplexity(t.requests, F.col("latency") / 100, F.col("tokens"))
 
 
 def _latency(t):
-    return evaluate.latency_percentiles(t.requests.select(money(F.col("latency")).alias("latency"), "tokens"), "latency", "tokens")
+    return evaluate.latency_percentiles(t.requests, "latency", "tokens")
 
 
-LOSS = "SUM(latency::DECIMAL(18,2) * tokens)::DOUBLE / 100 / SUM(tokens)"
-LATENCY = """SELECT SUM(latency::DECIMAL(18,2))::DOUBLE / COUNT(*) AS avg_latency, quantile_cont(latency, 0.5) AS p50,
+LOSS = "SUM(latency * tokens) / 100 / SUM(tokens)"
+LATENCY = """SELECT SUM(latency) / COUNT(*) AS avg_latency, quantile_cont(latency, 0.5) AS p50,
     quantile_cont(latency, 0.9) AS p90, quantile_cont(latency, 0.99) AS p99, COUNT(*) AS samples,
     AVG(tokens / NULLIF(latency, 0)) AS avg_throughput FROM requests"""
 
@@ -171,13 +171,13 @@ def _(t):
 
 @query(
     "latency_percentiles",
-    f"""SELECT avg_latency, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99, samples,
+    f"""SELECT round(avg_latency, 6) AS avg_latency, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99, samples,
         round(avg_throughput, 6) AS avg_throughput FROM ({LATENCY})""",
     ("requests",),
 )
 def _(t):
     out = _latency(t)
-    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p90", "p99", "avg_throughput")})
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_latency", "p50", "p90", "p99", "avg_throughput")})
 
 
 @query(
@@ -206,12 +206,12 @@ def _(t):
 
 @query(
     "training_log_summary",
-    """SELECT strftime(ts, '%Y-%m-%d') AS epoch, COUNT(*) AS steps, SUM(value::DECIMAL(18,2))::DOUBLE / COUNT(*) AS mean_loss,
+    """SELECT strftime(ts, '%Y-%m-%d') AS epoch, COUNT(*) AS steps, round(SUM(value) / COUNT(*), 9) AS mean_loss,
               MIN(value) AS best_loss FROM events GROUP BY 1""",
 )
 def _(t):
     log = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("epoch"), "value")
-    return evaluate.epoch_summary(log, "epoch", money(F.col("value")))
+    return rounded(evaluate.epoch_summary(log, "epoch", F.col("value")), "mean_loss", digits=9)
 
 
 @query(

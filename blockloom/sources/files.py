@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from blockloom.functions.scalars import file_name, parent_dir
 from blockloom.schemas import ZONES
@@ -14,9 +15,24 @@ SIDECAR = ".metadata"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header. Give a schema for large data: inferring one reads the files twice."""
-    reader = spark.read.option("header", True).option("multiLine", False)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    """CSV with a header. Give a schema for large data: inferring one reads the files twice.
+
+    Columns go by name: those of the schema that the header lacks are null, others are not read. All
+    files must have the same header; one that differs is an error when its rows are read.
+    """
+    return _csv(spark.read, path, schema)
+
+
+def _csv(reader: DataFrameReader, path: str, schema: str | None) -> DataFrame:
+    reader = reader.option("header", True).option("enforceSchema", False)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    wanted = StructType.fromDDL(schema)
+    header = reader.csv(path).columns
+    by_name = {field.name: field for field in wanted}
+    found = StructType([by_name.get(name, StructField(name, StringType())) for name in header])
+    rows = reader.schema(found).csv(path)
+    return rows.select(*[F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -89,10 +105,10 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None, strict:
     parts = {}
     for suffix in suffixes:
         if suffix in found:
-            reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+            any_case = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+            reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{any_case}")
             if suffix == ".csv":
-                frame = reader.option("header", True)
-                parts[suffix] = frame.schema(schema).csv(path) if schema else frame.option("inferSchema", True).csv(path)
+                parts[suffix] = _csv(reader, path, schema)
             else:
                 frame = reader.option("multiLine", suffix == ".json")
                 parts[suffix] = (frame.schema(schema) if schema else frame).json(path)

@@ -116,10 +116,10 @@ def test_zip_by_date_keeps_unmatched_days(blocks):
         chain.zip_daily_series(blocks, 30, AS_OF, align="week")
 
 
-def test_activity_matrix_drops_unfinished_rows(spark):
+def test_activity_matrix_keeps_the_unfinished_row(spark):
     data = [block("ethereum", d, d, d, 1.0) for d in range(1, 10)]
     out = chain.activity_matrix_literal(spark.createDataFrame(data, SCHEMA), 30, AS_OF)
-    assert rows(out) == [("ethereum", 0, 1, 2, 3, 4, 5, 6, 7)]
+    assert rows(out) == [("ethereum", 0, 1, 2, 3, 4, 5, 6, 7), ("ethereum", 1, 8, 9, None, None, None, None, None)]
 
 
 def test_forecast_continues_a_line(spark):
@@ -164,3 +164,10 @@ def test_latest_and_page(blocks):
     assert [r["block_number"] for r in chain.latest_blocks(blocks, "ethereum", 2).collect()] == [99, 6]
     page = block_source.page(blocks.select("block_number", "block_hash"), ["block_number", "block_hash"], 2, 2)
     assert [r[0] for r in page.collect()] == [3, 5]
+
+
+def test_amounts_beyond_two_digits_and_doubles(spark):
+    rows = [(str(3 * 10**18),), (str(10**18),), (str(2 * 10**18),)]
+    df = spark.createDataFrame(rows, "v string").select(F.col("v").cast("decimal(38,0)").alias("value"))
+    got = chain.amount_statistics(df, "value").first()
+    assert (got["mean"], got["median"], got["max"]) == (2e18, 2e18, 3e18)

@@ -124,3 +124,23 @@ def test_observation_and_timings(spark):
         return 5
 
     assert work() == work() == 5 and timings.summary()["work"]["calls"] == 2
+
+
+def test_small_latencies_are_not_rounded_away(spark):
+    df = spark.createDataFrame([(i, "k", i, 1, 0.004) for i in range(10)], "id long, k string, ts long, n long, latency double")
+    assert monitor.last_mean(df, ["id"], "latency").first()[0] == pytest.approx(0.004)
+    ran = monitor.running_avg_latency(df, ["k"], ["id"], "n", "latency")
+    assert all(r.avg_latency == pytest.approx(0.004) for r in ran.collect())
+    requests = df.select((F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))).alias("ts"), "latency")
+    alerts = monitor.p95_latency_alert(requests, threshold=0.003).collect()
+    assert alerts and all(r.firing and r.p95 == pytest.approx(0.004) for r in alerts)
+
+
+@pytest.mark.parametrize(("minutes", "step"), [(5, 2), (5, 1), (4, 2), (1, 3), (15, 5)])
+def test_sliding_windows_of_any_length_and_step(spark, minutes, step):
+    at = [0, 59, 60, 170, 300, 301, 1000, 1001, 1500]
+    df = spark.createDataFrame([(s,) for s in at], "s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.window_end: r.n for r in monitor.sliding(df, [], "ts", {"n": ("sum", F.lit(1))}, minutes, step).collect()}
+    ends = range(0, 4000, step * 60)
+    want = {e: sum(e - minutes * 60 <= s < e for s in at) for e in ends}
+    assert got == {e: n for e, n in want.items() if n}

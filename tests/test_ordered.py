@@ -170,3 +170,10 @@ def test_debounce_without_keys(spark):
 def test_debounce_of_nothing(spark):
     df = spark.createDataFrame([], "k string, ts timestamp")
     assert monitor.debounce(df, ["k"], "ts").count() == 0
+
+
+def test_rolling_over_more_rows_than_a_chunk(spark):
+    df = spark.range(25_000).select(F.lit("k").alias("k"), F.col("id"))
+    out = ordered.rolling_rows(df, ["k"], ["id"], 20_000, [("n", F.count("*")), ("low", F.min("id"))])
+    assert out.filter("n <> least(id + 1, 20000) OR low <> greatest(id - 19999, 0)").count() == 0
+    assert out.count() == 25_000

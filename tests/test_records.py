@@ -140,6 +140,13 @@ def test_transforms_in_order(spark):
         known.apply(df, ["missing"])
 
 
+def test_record_functions_keep_large_integers_beside_nulls(spark):
+    known = tr.Transforms()
+    known.register_record_function("same", lambda r: r, "v long, x double")
+    df = spark.createDataFrame([(9007199254740993, 1.5), (None, None)], "v long, x double").coalesce(1)
+    assert set(map(tuple, known.apply(df, ["same"]).collect())) == {(9007199254740993, 1.5), (None, None)}
+
+
 def test_steps_need_permission(spark):
     steps = tr.ProcessingSteps().add(lambda df: df).add(lambda df: df.limit(1), requires_auth=True)
     df = spark.range(3)

@@ -101,3 +101,20 @@ def test_named_sources(spark):
         known.fetch("letters", spark)
     known.as_views(spark)
     assert spark.sql("select count(*) from numbers").first()[0] == 3
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,key\na,1\n")
+    got = files.read_csv(spark, str(tmp_path / "a.csv"), "key int, name string, more double")
+    assert [tuple(r) for r in got.collect()] == [(1, "a", None)]
+    (tmp_path / "b.CSV").write_text("key,name\n2,b\n")
+    for schema in (None, "key int, name string"):
+        with pytest.raises(Exception, match="header"):
+            files.read_tree(spark, str(tmp_path), schema).collect()
+
+
+def test_tree_reads_suffixes_of_any_case(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,key\na,1\n")
+    (tmp_path / "b.CSV").write_text("name,key\nb,2\n")
+    got = files.read_tree(spark, str(tmp_path), "key int, name string")
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "b")]
