@@ -11,6 +11,7 @@ from blockloom.functions.crypto import decrypt
 from blockloom.functions.scalars import age_days, cutoff, first_nonempty, first_truthy
 from blockloom.operators.validate import SOURCE_RULES
 from blockloom.schemas import TIER_POLICIES
+from blockloom.session import written
 from blockloom.sources.files import check_zone, valid_zone
 
 ARCHIVE_AFTER_DAYS = 30
@@ -58,18 +59,21 @@ def metrics_in_range(metrics: DataFrame, metric_type: str, start: str, end: str)
 
 
 def land_raw(records: DataFrame, source_type: str, body: str, path: str, ingest_ts: str) -> bool:
-    """Append JSON records of one source to its raw zone; false, and nothing written, when there
-    are none or one is invalid."""
+    """Put JSON records of one source in its raw zone; false, and nothing written, when there
+    are none or one is invalid.
+
+    What is checked is what is written: the records are computed once. A repeated run of the same source
+    and `ingest_ts` replaces what the first one wrote.
+    """
     check_zone("raw", source_type)
-    rule = SOURCE_RULES[source_type](F.col(body))
-    if records.isEmpty() or not records.filter(~rule).isEmpty():
+    checked = written(records.withColumn("_valid", F.coalesce(SOURCE_RULES[source_type](F.col(body)), F.lit(True))), "landing")
+    if not checked.agg(F.bool_and("_valid")).first()[0]:  # null without records
         return False
-    (
-        records.withColumns({"category": F.lit("raw"), "subcategory": F.lit(source_type), "ingest_ts": F.lit(ingest_ts)})
-        .write.mode("append")
-        .partitionBy("category", "subcategory", "ingest_ts")
-        .json(path)
+    kept = checked.drop("_valid").withColumns(
+        {"category": F.lit("raw"), "subcategory": F.lit(source_type), "ingest_ts": F.lit(ingest_ts)}
     )
+    own_folders = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    own_folders.partitionBy("category", "subcategory", "ingest_ts").json(path)
     return True
 
 
@@ -146,24 +150,36 @@ def archive_plan(df: DataFrame, table: str, as_of: str, ts: str = "timestamp") -
 def archive_write(df: DataFrame, table: str, as_of: str, archive: str, live: str, ts: str = "timestamp") -> None:
     """Write old rows to the archive (zstd) and the table with its flags to `live`.
 
-    The source is never overwritten: `live` is a new folder the caller swaps in.
+    The source is never overwritten: `live` is a new folder the caller swaps in. Archived rows lie in folders
+    of their table and `as_of`, so a repeated run replaces its own rows and no others.
     """
     flagged = df.withColumn("_old", is_old(as_of, ts))
-    old = with_month(flagged.filter("_old"), ts).drop("_old", "compressed").withColumn("original_table", F.lit(table))
-    archived = _balanced(old, "original_table", "month").write.mode("append").option("compression", "zstd")
-    archived.partitionBy("original_table", "month").parquet(archive)
+    old = with_month(flagged.filter("_old"), ts).drop("_old", "compressed").withColumns(
+        {"original_table": F.lit(table), "archived_at": F.lit(as_of)}
+    )
+    folders = ("original_table", "archived_at", "month")
+    archived = _balanced(old, *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    archived.option("compression", "zstd").partitionBy(*folders).parquet(archive)
     flagged.withColumn("compressed", F.coalesce("compressed", F.lit(False)) | F.col("_old")).drop("_old").write.mode(
-        "append"
+        "overwrite"
     ).parquet(live)
 
 
-def archive_restore(live: DataFrame, archived: DataFrame, key: str, start: str, end: str, ts: str = "timestamp") -> DataFrame:
-    """The table with the archived rows of a time range put back, none twice."""
+def archive_restore(
+    live: DataFrame, archived: DataFrame, key: str, start: str, end: str, ts: str = "timestamp", table: str | None = None
+) -> DataFrame:
+    """The table with the archived rows of a time range put back, each key once and no longer flagged.
+
+    `table` picks one of the tables an archive holds.
+    """
     between = F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     columns = live.columns
-    wanted = archived.filter(between).withColumn("compressed", F.lit(False))
+    wanted = archived.filter(between if table is None else between & (F.col("original_table") == table))
+    wanted = wanted.withColumn("compressed", F.lit(False)).dropDuplicates([key])
     missing = wanted.join(live.select(key), key, "left_anti").select(*columns)
-    return live.unionByName(missing)
+    back = wanted.select(key, F.lit(True).alias("_back"))
+    unflagged = live.join(back, key, "left").withColumn("compressed", F.col("compressed") & F.col("_back").isNull())
+    return unflagged.select(*columns).unionByName(missing)
 
 
 # Backups

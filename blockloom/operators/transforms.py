@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from blockloom.session import written
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -110,11 +112,12 @@ def stamp_run(df: DataFrame, start: str, end: str, as_of: str) -> DataFrame:
 def load_validated(df: DataFrame, valid: Column, path: str) -> bool:
     """Append all rows, or none when one of them is invalid.
 
-    The check reads only the columns of the rule and stops at the first invalid row.
+    The rows are computed once: what is checked is what is written.
     """
-    if not df.filter(~F.coalesce(valid, F.lit(False))).isEmpty():
+    checked = written(df.withColumn("_valid", F.coalesce(valid, F.lit(False))), "load")
+    if not checked.filter("NOT _valid").isEmpty():
         return False
-    df.write.mode("append").parquet(path)
+    checked.drop("_valid").write.mode("append").parquet(path)
     return True
 
 
@@ -126,7 +129,7 @@ def split_valid(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
 
 def run_batch(source: DataFrame, transforms: Transforms, names: Iterable[str], valid: Column, path: str) -> bool:
     """Extract, transform and load as one plan and one write; false when a stage is empty."""
-    shaped = transforms.apply(source, names)
+    shaped = written(transforms.apply(source, names), "batch")
     if shaped.isEmpty():
         return False
     return load_validated(shaped, valid, path)

@@ -147,3 +147,23 @@ def test_tier_moves_and_deletes(spark):
     out = spark.read.parquet(path)
     assert rows(out.select("id", "storage_class")) == [(2, "local"), (3, "archive")]
     assert out.filter("moved_at is not null").count() == 1
+
+
+def test_repeated_runs_change_nothing(spark):
+    root = work_dir(spark, "repeat")
+    good = spark.createDataFrame([('{"sensor_id":1,"timestamp":"t","readings":{}}',)], "body string")
+    for _ in range(2):
+        assert lifecycle.land_raw(good, "sensors", "body", f"{root}/raw", "2024-01-01")
+    assert lifecycle.land_raw(good, "sensors", "body", f"{root}/raw", "2024-01-02")
+    assert spark.read.json(f"{root}/raw").count() == 2
+    assert not lifecycle.land_raw(good.limit(0), "sensors", "body", f"{root}/raw", "2024-01-03")
+
+    data = [(1, datetime(2020, 1, 1), False), (2, datetime(2020, 2, 1), False), (3, datetime(2024, 6, 1), False)]
+    df = spark.createDataFrame(data, "id long, timestamp timestamp, compressed boolean")
+    for _ in range(2):
+        lifecycle.archive_write(df, "t", "2024-06-02", f"{root}/archive", f"{root}/live")
+    lifecycle.archive_write(df, "other", "2024-06-02", f"{root}/archive", f"{root}/live2")
+    archived, live = spark.read.parquet(f"{root}/archive"), spark.read.parquet(f"{root}/live")
+    assert archived.count() == 4 and live.count() == 3
+    back = lifecycle.archive_restore(live.filter("id <> 2"), archived, "id", "2019-01-01", "2021-01-01", table="t")
+    assert rows(back.select("id", "compressed")) == [(1, False), (2, False), (3, False)]
