@@ -81,11 +81,6 @@ def test_rolling_rows_across_chunks(frame):
     assert {r["id"]: r["total"] for r in out.collect()} == expected
 
 
-def test_rolling_rows_size_limit(frame):
-    with pytest.raises(ValueError):
-        ordered.rolling_rows(frame, ["k"], ["s"], 8, [], chunk=7)
-
-
 def test_trailing_range(spark, frame):
     timed = frame.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("s")))
     out = ordered.trailing_range(timed, ["k"], "ts", F.col("v"), 300_000_000)
