@@ -278,6 +278,71 @@ def test_block_keys_lose_no_pair(spark, blocks):
     assert blocks_for(10) == 4 and blocks_for(2_000_000) == 5 and blocks_for(10**9) >= 6
 
 
+def test_words_of_a_line_are_counted_after_normalising(spark):
+    rng = random.Random(12)
+    simhash = lambda line: sum(
+        1 << b for b in range(64) if 2 * sum(xxh64_intdigest(w.encode(), 42) >> b & 1 for w in line.split()) > len(line.split())
+    )
+    while True:  # a long line of short words, and the same with another last word
+        short = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(200))
+        other = short[:-2] + "q" + rng.choice("uvw")
+        if (simhash(short) ^ simhash(other)).bit_count() <= FLIPS:
+            break
+    parted = ["one two three four five", "one\ttwo\tthree\tfour\tfive", "One\u00a0two\u00a0three\u00a0four\u00a0five", "one,two;three.four:five"]
+    alone = ["        }", "- - - - -", "| | | | |", "          ", "        return none", "\t\treturn a b c", "a b c d", "", "a.b.c.d."]
+    rows = [(i, "\n".join([line, *alone, short if i % 2 else other])) for i, line in enumerate(parted)]
+    rows += [(10, "a b c d e\nA-B-C-D-E\nİİİİİ\nİİİİİ")]
+    got = {r.doc_id: r.removed for r in line_duplicates(frame(spark, rows)).collect()}
+    last = len(alone) + 1
+    assert got == {0: [], 1: [0, last], 2: [0, last], 3: [0, last], 10: [1, 3]}
+
+
+def brute_normalised_lines(rows):
+    """Removed places by (id, text), with words counted on the normalised line and all of them hashed; ids differ."""
+    places = defaultdict(list)
+    for i, text in rows:
+        for pos, line in enumerate(map(slow_line, text.split("\n"))):
+            if len(line.split(" ")) >= 5:
+                places[line].append((i, pos))
+    sims = {}
+    for line in places:
+        hashes = [xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
+        sims[line] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    links = [
+        (a, b)
+        for a, b in combinations(sorted(places), 2)
+        if (sims[a] ^ sims[b]).bit_count() <= FLIPS and edits(a, b) <= max(len(a), len(b)) * 20 // 100
+    ]
+    root = groups(sorted(places), links)
+    together = defaultdict(list)
+    for line, at in places.items():
+        together[root[line]] += at
+    removed = defaultdict(list)
+    for at in together.values():
+        for i, pos in sorted(at)[1:]:
+            removed[i].append(pos)
+    return {i: sorted(at) for i, at in removed.items()}
+
+
+def test_fuzzy_lines_of_short_and_oddly_parted_words(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)] + [f"word{i}" for i in range(150)]
+    parts = [" ", " ", " ", "\t", "\u00a0", ", ", "  "]
+    line = lambda n: "".join(rng.choice(words) + rng.choice(parts) for _ in range(n)) + "."
+    popular, long = [line(12), line(30)], line(60).split(" ")
+    rows = []
+    for i in range(60):
+        lines = [line(rng.randrange(2, 20)) for _ in range(rng.randrange(1, 5))]
+        lines.insert(rng.randrange(len(lines) + 1), rng.choice(popular).upper() if i % 2 else rng.choice(popular))
+        near = list(long)
+        near[rng.randrange(len(long))] = rng.choice(words)
+        rows.append((i, "\n".join([*lines, " ".join(near)])))
+    want = brute_normalised_lines(rows)
+    got = line_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.removed for r in got if r.removed} == want
+    assert sum(r.n_removed for r in got) > 60
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.Example.com", "/en/"), ("block", "net", "/es"), ("block", "b.c", "")]
 
 
