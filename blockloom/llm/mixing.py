@@ -128,6 +128,64 @@ def plan(sizes: DataFrame, **shares) -> DataFrame:
     return written(goals, "mix-plan")  # so that the join with all rows is a plain one, broadcast or split by size
 
 
+def _starts(placed: DataFrame) -> DataFrame:
+    """(of, at_place, start): the words of a source, given by its rank, before each different place, exactly; written.
+
+    Sums of the two levels of prefixes are added up, at most 2^PREFIX_BITS in a window, and then the places in one.
+    """
+    steps = placed.groupBy("rank", "place").agg(F.sum("size").alias("words"))
+    steps = written(steps.withColumns({"high": _prefix("place", 1), "low": _prefix("place", 2)}), "mix-steps")
+    before = lambda *by: F.coalesce(F.sum("words").over(
+        Window.partitionBy("rank", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ), F.lit(0).cast("long"))
+    high = steps.groupBy("rank", "high").agg(F.sum("words").alias("words"))
+    low = steps.groupBy("rank", "high", "low").agg(F.sum("words").alias("words"))
+    high = high.select("rank", "high", before("high").alias("base"))
+    low = low.select("rank", "high", "low", before("high", "low").alias("inner"))
+    bases = low.join(high, ["rank", "high"]).select("rank", "low", (F.col("base") + F.col("inner")).alias("base"))
+    inside = steps.join(bases, ["rank", "low"]).withColumn("start", F.col("base") + before("low", "place"))
+    return written(inside.select(F.col("rank").alias("of"), F.col("place").alias("at_place"), "start"), "mix-starts")
+
+
+def _position(words: Column, target: Column, rank: Column, schedules) -> Column:
+    """The time, from 0 to 1, at which the demand for a source's words reaches `words` of its `target`."""
+    share = F.least(F.try_divide(words, target), F.lit(1.0))
+    ramps = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in schedules])
+    ramp = F.element_at(ramps, (rank % len(schedules) + 1).cast("int"))
+    begin, rise = ramp[0], ramp[1] - ramp[0]
+    # The t at which begin * t + rise * t^2 / 2, the weight's integral, reaches this share.
+    when = 2 * share / (begin + F.sqrt(F.greatest(begin * begin + 2 * rise * share, F.lit(0.0))))
+    return F.coalesce(when, F.lit(0.0))
+
+
+def _with_rank(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    return sizes.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
+def mixing(docs: DataFrame, schedules=SCHEDULES, positions: str | None = None, **shares) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of `docs` (doc_id, source, text).
+
+    Every copy gets its position in training; rows come sorted by the position of their first copy, and rows
+    that are not taken at the end. `positions` names a column for the positions of a row's copies.
+    """
+    sizes = sized(docs)
+    rows = _with_rank(sizes, plan(sizes, **shares))
+    starts = _starts(rows.filter("size > 0"))
+    rows = rows.join(starts, (F.col("rank") == F.col("of")) & (F.col("place") == F.col("at_place")), "left")
+    copies = F.col("rounds") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)
+    each = F.when((F.col("size") > 0) & (copies > 0), F.sequence(F.lit(0).cast("long"), copies - 1))
+    at = F.transform(
+        F.coalesce(each, F.array().cast("array<bigint>")),
+        lambda copy: _position(copy * F.col("source_size") + F.col("start"), F.col("target"), F.col("rank"), schedules),
+    )
+    rows = rows.withColumn("positions", at).withColumn("first", F.get("positions", F.lit(0)))
+    order = [F.col("first").asc_nulls_last(), F.col("place"), F.col("doc_id")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    taken = (F.col("size") * F.size("positions")).alias("taken")
+    kept = ["doc_id", "size", "source_size", "target", taken]
+    return ordered.select(*kept, *([F.col("positions").alias(positions)] if positions else []))
+
+
 def _marks(sizes: DataFrame) -> DataFrame:
     """(s, marks): the words of each source before each part of the places, and after the last."""
     part = F.shiftright("place", HASH_BITS - MARK_BITS)
@@ -147,16 +205,6 @@ def _marks(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mixing(docs: DataFrame, **shares) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of `docs` (doc_id, source, text)."""
-    sizes = sized(docs)
-    goals = plan(sizes, **shares).withColumnRenamed("source", "s")
-    copies = F.col("rounds") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)
-    return sizes.join(goals, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")
-    )
-
-
 def mixed(docs: DataFrame, schedules=SCHEDULES, position: str | None = None, **shares) -> DataFrame:
     """The rows of `docs` as often as they are taken, sorted by position in training.
 
@@ -182,13 +230,7 @@ def mixed(docs: DataFrame, schedules=SCHEDULES, position: str | None = None, **s
     part = F.shiftright(F.col(place), HASH_BITS - MARK_BITS).cast("int")
     low, high = (F.element_at(F.col(goal)["marks"], part + k) for k in (1, 2))
     words = F.col(copy) * F.col(goal)["source_size"] + low + (high - low) * ((F.col(place) % width) / width)
-    share = F.least(F.try_divide(words, F.col(goal)["target"]), F.lit(1.0))
-    ramps = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in schedules])
-    ramp = F.element_at(ramps, (F.col(goal)["rank"] % len(schedules) + 1).cast("int"))
-    begin, rise = ramp[0], ramp[1] - ramp[0]
-    # The t at which begin * t + rise * t^2 / 2, the weight's integral, reaches this share.
-    when = 2 * share / (begin + F.sqrt(F.greatest(begin * begin + 2 * rise * share, F.lit(0.0))))
-    placed = taken.withColumn(at, F.coalesce(when, F.lit(0.0)))
+    placed = taken.withColumn(at, _position(words, F.col(goal)["target"], F.col(goal)["rank"], schedules))
     kept = [quoted(c) for c in docs.columns]
     ordered = placed.repartitionByRange(F.col(at), F.col(place)).sortWithinPartitions(at, place)
     return ordered.select(*kept, *([F.col(at).alias(position)] if position else []))

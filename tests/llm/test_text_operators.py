@@ -1,5 +1,6 @@
 """Token counts, packing, quality rules, toxicity and mixing against brute force, and their edge cases."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -225,3 +226,49 @@ def test_mixing_targets_and_whole_documents(spark, odd_docs):
     assert SCHEDULES[0][0] > SCHEDULES[0][1] and np.mean(np.array(first) < 0.5) > 0.55
     assert mixed(odd_docs).columns == odd_docs.columns
     assert mixed(odd_docs.limit(0)).collect() == []
+
+
+def slow_positions(rows, taken):
+    """Positions of the copies of each id, from the content hash and a running sum per source; ids differ."""
+    sizes = defaultdict(int)
+    for _, text, _, source in rows:
+        sizes[source] += len(text.split())
+    targets, placed = slow_targets(sizes), defaultdict(list)
+    for i, text, _, source in rows:
+        joined = "\x1f".join([str(i), source or "", text])
+        placed[source].append((int(hashlib.md5(joined.encode()).hexdigest()[:15], 16), i, len(text.split())))
+    out = {}
+    for rank, source in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode()))):
+        begin, end = SCHEDULES[rank % len(SCHEDULES)]
+        words = 0
+        for _, i, size in sorted(placed[source]):
+            shares = [min(1, (copy * sizes[source] + words) / targets[source]) for copy in range(taken[i] // max(1, size))]
+            # begin * t + (end - begin) * t^2 / 2 = share, by halving
+            out[i] = []
+            for share in shares:
+                low, high = 0.0, 1.0
+                for _ in range(60):
+                    t = (low + high) / 2
+                    low, high = (t, high) if begin * t + (end - begin) * t * t / 2 < share else (low, t)
+                out[i].append(low)
+            words += size
+    return out
+
+
+def test_mixing_gets_its_rows_through_their_positions(spark):
+    rng = random.Random(9)
+    sources = ["hot"] * 6 + ["b", "é", "Z", None]
+    rows = [(i, "w " * rng.randrange(0, 60), "en", rng.choice(sources)) for i in range(800)]
+    rows += [(900, "long " * 9000, "en", "b")]
+    docs = frame(spark, rows)
+    got = mixing(docs, positions="at").collect()
+    want = slow_positions(rows, {r.doc_id: r.taken for r in got})
+    assert sum(len(r["at"]) for r in got) > 800
+    for r in got:
+        assert r["at"] == pytest.approx(want[r.doc_id], abs=1e-9)
+    firsts = [r["at"][0] if r["at"] else 2 for r in got]
+    assert firsts == sorted(firsts)
+    # The registered form has the same rows in the same order, and that order follows the schedule.
+    assert [r.doc_id for r in mixing(docs).collect()] == [r.doc_id for r in got]
+    flat = mixing(docs, schedules=((1.0, 1.0),)).collect()
+    assert [r.doc_id for r in flat] != [r.doc_id for r in got] and set(flat) == set(mixing(docs).collect())
