@@ -7,8 +7,9 @@ of these words, hashed to a fixed number of buckets. The score is a plain sum ov
 words in a long text weigh as much as in a short one.
 
 The fit sees a bounded sample of labelled ids, chosen by a hash of the id: `SAMPLE` at most. Tasks count
-in how many sampled texts of either kind a bucket occurs, and only the `SCREENED` buckets that point most
-clearly to the highest grade, all of them well beyond chance, are fitted. Scoring runs over every document and the whole of each text, next to the weights.
+in how many sampled texts above each threshold a bucket occurs, and every bucket that at some threshold speaks for
+or against a higher grade well beyond chance is fitted. Scoring runs over every document and the whole of each
+text, next to the weights.
 
 Null text counts as empty and scores like a text without known words. Labels with a null id or grade
 are left out of the fit; an id with several labels has the highest, and one with several texts the last by
@@ -32,7 +33,7 @@ from blockloom.session import written
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
-SCREENED, LEAST_DOCS, LEAST_Z = 5_000, 5, 5.0
+LEAST_DOCS, LEAST_Z = 5, 5.0
 PREFIXES = (3, 4, 5, 6, 7)  # characters
 L1, ROUNDS, STEP = 2e-4, 500, 0.5
 CACHED_WORDS = 1 << 19  # remembered buckets per task; a full cache is emptied
@@ -133,25 +134,31 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def screened(sampled: DataFrame) -> list[int]:
-    """The buckets whose texts most clearly have the highest grade more often than the rest."""
-    lowest, highest = sampled.agg(F.min("grade"), F.max("grade")).first()
-    if lowest == highest:
+    """The buckets that tell the grades above some threshold from those below it, in either direction."""
+    found = {r[0]: r[1] for r in sampled.groupBy("grade").count().collect()}
+    levels, total = sorted(found), sum(found.values())
+    if len(levels) < 2:
         return []
-    share = sampled.agg(F.avg((F.col("grade") == highest).cast("double"))).first()[0]
+    names = [f"above{k}" for k in range(len(levels) - 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [np.unique(features(t)).astype(np.int64) for t in batch.column(1).to_pylist()]
-            over = np.repeat(batch.column(0).to_numpy() == highest, [len(f) for f in found])
+            grades = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
             used, at = np.unique(np.concatenate(found), return_inverse=True)
-            n, harsh = np.bincount(at, minlength=len(used)), np.bincount(at, over, len(used)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, (used, n, harsh))), names=["bucket", "n", "harsh"])
-
-    counts = sampled.mapInArrow(count, "bucket long, n long, harsh long").groupBy("bucket")
-    counts = counts.agg(F.sum("n").alias("n"), F.sum("harsh").alias("harsh")).filter(F.col("n") >= LEAST_DOCS)
-    z = (F.col("harsh") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.filter(z >= LEAST_Z).orderBy(z.desc(), "bucket").limit(SCREENED)
-    return [r[0] for r in best.select("bucket").collect()]
+            above = [np.bincount(at, grades > level, len(used)).astype(np.int64) for level in levels[:-1]]
+            columns = [used, np.bincount(at, minlength=len(used)), *above]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["bucket", "n", *names])
+
+    kinds = ", ".join(f"{c} long" for c in ("bucket", "n", *names))
+    counts = sampled.mapInArrow(count, kinds).groupBy("bucket")
+    counts = counts.agg(*[F.sum(c).alias(c) for c in ("n", *names)]).filter(F.col("n") >= LEAST_DOCS)
+    clear = F.lit(False)
+    for k, name in enumerate(names):
+        share = sum(found[level] for level in levels[k + 1 :]) / total
+        z = (F.col(name) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+        clear |= F.abs(z) >= LEAST_Z
+    return [r[0] for r in counts.filter(clear).select("bucket").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:

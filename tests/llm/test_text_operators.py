@@ -272,3 +272,21 @@ def test_mixing_gets_its_rows_through_their_positions(spark):
     assert [r.doc_id for r in mixing(docs).collect()] == [r.doc_id for r in got]
     flat = mixing(docs, schedules=((1.0, 1.0),)).collect()
     assert [r.doc_id for r in flat] != [r.doc_id for r in got] and set(flat) == set(mixing(docs).collect())
+
+
+def test_toxicity_knows_each_grade_by_words_of_its_own(spark):
+    rng = random.Random(6)
+    own = {0: "good", 1: "poor", 2: "worst"}
+
+    def text(grade):
+        found = [f"w{rng.randrange(2000)}" for _ in range(60)] + [f"{own[grade]}{rng.randrange(5)}" for _ in range(3)]
+        rng.shuffle(found)
+        return " ".join(found)
+
+    grades = [rng.choice([0, 0, 0, 1, 2]) for _ in range(1500)]
+    docs = frame(spark, [(i, text(g), "en", "s") for i, g in enumerate(grades)])
+    labels = spark.createDataFrame([(i, g) for i, g in enumerate(grades) if i % 2], "doc_id long, grade int")
+    got = {r.doc_id: r for r in severity(docs, train(docs, labels)).collect()}
+    for grade in own:
+        held_out = [i for i in range(0, 1500, 2) if grades[i] == grade]
+        assert sum(got[i].grade == grade for i in held_out) >= 0.9 * len(held_out), grade
