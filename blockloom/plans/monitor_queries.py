@@ -110,13 +110,13 @@ def _floor(seconds: int) -> str:
 
 @query(
     "tps_tumbling",
-    f"""SELECT endpoint, strftime(make_timestamp({_floor(60)} * 1000000), {ISO}) AS window_start, SUM(tokens)::DOUBLE / 60 AS tps
+    f"""SELECT endpoint, strftime(make_timestamp({_floor(60)} * 1000000), {ISO}) AS window_start, round(SUM(tokens)::DOUBLE / 60, 9) AS tps
         FROM requests GROUP BY ALL""",
     ("requests",),
 )
 def _(t):
     out = monitor.tumbling_rate(t.requests, ["endpoint"], "ts", F.col("tokens"))
-    return rounded(out.withColumn("window_start", iso_text(F.col("window_start"))), "average", digits=9)
+    return rounded(out.withColumn("window_start", iso_text(F.col("window_start"))), "tps", digits=9)
 
 
 def _spread(select: str, keys: str = "", minutes: int = 5, step: int = 1, source: str = "requests") -> str:
