@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import WORD
+from blockloom.llm.conversation_repair import digests, repaired_turns, repairs, report
+from blockloom.llm.importance import BUCKETS, DRAWN_PERCENT, LEAST_WORDS, SCALE, SEED, resampled
 from blockloom.llm.line_dedup import line_duplicates
 from blockloom.llm.mixing import mixing
 from blockloom.llm.near_dedup import near_duplicates
@@ -16,6 +18,7 @@ from blockloom.llm.packing import best_fit_packing
 from blockloom.llm.preference_chat import preference_pairs, rendered, trained_chars, weaker
 from blockloom.llm.prefix_forest import nearest
 from blockloom.llm.quality_rules import MAX_REPEAT_PERCENT, MEASURES, MIN_GROUP, MIN_WORDS, SPREADS, quality_rules
+from blockloom.llm.secret_scan import BASE_KINDS, of_kinds, scan_secrets, span_text
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.toxicity import severity, train
 from blockloom.llm.url_filters import LOWER, PATTERNS, UPPER, url_verdicts
@@ -266,3 +269,146 @@ c AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT c.doc_id, e.b FROM c JO
 SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
+
+
+#: The 256 remainders of CRC-32, by its rule, and the checksum of a text's UTF-8 bytes from them.
+CRC_TABLE = """SELECT list(c ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, step: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def crc32_sql(text: str) -> str:
+    byte = f"('0x' || substr(hex({text}), 2 * j + 1, 2))::BIGINT"
+    return f"""xor(4294967295, list_reduce([4294967295] || [{byte} FOR j IN range(strlen({text}))],
+      lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"""
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_importance"] = rf"""
+WITH k AS ({CRC_TABLE}),
+w AS (
+  SELECT *, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT 0 AS target, row_number() OVER () AS rid, doc_id, text FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark)),
+f AS (
+  SELECT target, rid, unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, greatest(len(words), 1))]) AS feature FROM w),
+c AS (SELECT feature, {crc32_sql("feature")} % {BUCKETS} AS bucket FROM (SELECT DISTINCT feature FROM f), k),
+n AS (SELECT target, rid, bucket, count(*) AS n FROM f JOIN c USING (feature) GROUP BY ALL),
+b AS (
+  SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t
+  FROM n GROUP BY bucket),
+a AS (SELECT coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t FROM n),
+g AS (
+  SELECT bucket, floor({SCALE} * ln(((b.t + 1) * (a.s + {BUCKETS}))::DOUBLE / ((b.s + 1) * (a.t + {BUCKETS}))::DOUBLE))::BIGINT AS gain
+  FROM b, a),
+m AS (SELECT rid, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM n JOIN g USING (bucket) WHERE target = 0 GROUP BY rid),
+d AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM w LEFT JOIN m USING (rid) WHERE target = 0),
+z AS (SELECT *, weight + floor(-{SCALE} * ln(-ln((h + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    {DRAWN_PERCENT} * count(*) FILTER (n_words >= {LEAST_WORDS}) OVER () // 100 AS drawn
+  FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {LEAST_WORDS} AND place <= drawn THEN place END AS rank FROM r
+"""
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = of_kinds(F.col("spans"), BASE_KINDS)
+    counts = [F.size(of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults that follow from the ids of their rows."""
+    blank = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn"))
+    damage = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(damage == 4, "user").otherwise(role).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(damage == 0, 0).when(damage == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repairs(damaged(turns))
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    reports, hashes = report(found, "reported"), digests(repaired_turns(found, "hashed"), "hashed")
+    out = ids.join(reports, F.col("id").eqNullSafe(F.col("reported")) & F.col("cost").isNotNull(), "left").join(
+        hashes, F.col("id").eqNullSafe(F.col("hashed")) & F.col("sha256").isNotNull(), "left"
+    )
+    return out.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+#: States of the repair's grammar as in the operator: 0 nothing yet, 1 after s, 2 after u, 3 after a.
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE k AS ({CRC_TABLE}),
+o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT o.*, {crc32_sql("name")} % 20 AS damage FROM o, k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h)),
+p AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+y AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM p),
+f AS (
+  SELECT *, left(role, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 1 WHEN seen > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair FROM y),
+s AS (
+  SELECT c, any_value(conv_id) AS conv_id, count(*) AS n,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+x(state, added, cost, reached, said) AS (VALUES (0, '', 0, 0, ''), (1, '', 0, 1, ''), (2, '', 0, 2, ''), (3, '', 0, 3, ''),
+  (0, 'I', 5, 2, chr(10) || 'user:'), (1, 'I', 5, 2, chr(10) || 'user:'), (2, 'I', 5, 3, chr(10) || 'assistant:'), (3, 'I', 5, 2, chr(10) || 'user:'),
+  (0, 'II', 10, 3, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 'II', 10, 3, chr(10) || 'user:' || chr(10) || 'assistant:')),
+e(letter, state, initial, reached, cost) AS (VALUES ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 3, 'u', 2, 0),
+  ('K', 2, 'a', 3, 0), ('R', 0, '', 2, 1), ('R', 1, '', 2, 1), ('R', 3, '', 2, 1), ('R', 2, '', 3, 1),
+  ('D', 0, '', 0, 2), ('D', 1, '', 1, 2), ('D', 2, '', 2, 2), ('D', 3, '', 3, 2)),
+r AS (
+  SELECT c, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, '' AS said FROM s
+  UNION ALL
+  SELECT r.c, f.i, e.reached, r.cost + x.cost + e.cost + CASE WHEN fault = 3 AND letter <> 'D' THEN 5 ELSE 0 END AS total,
+    audit || added || letter AS letters, r.said || x.said || CASE letter WHEN 'D' THEN '' ELSE chr(10) ||
+      CASE letter WHEN 'K' THEN role WHEN 'R' THEN CASE e.reached WHEN 2 THEN 'user' ELSE 'assistant' END END || ':' || text END
+  FROM r JOIN f ON f.c = r.c AND f.i = r.i + 1 JOIN x ON x.state = r.state
+    JOIN e ON e.state = x.reached AND (letter <> 'K' OR e.initial = f.initial) AND (letter = 'D' OR fault IN (0, 3))
+  QUALIFY row_number() OVER (PARTITION BY r.c, e.reached ORDER BY total, letters) = 1),
+z AS (
+  SELECT r.c, r.cost + x.cost AS cost, audit || added AS audit, r.said || x.said AS said
+  FROM r JOIN s ON s.c = r.c AND s.n = r.i JOIN x ON x.state = r.state WHERE x.reached IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY r.c ORDER BY r.cost + x.cost, audit || added) = 1)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN z ON z.c = s.c
+"""
