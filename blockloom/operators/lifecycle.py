@@ -12,6 +12,7 @@ from blockloom.functions.scalars import age_days, cutoff, first_nonempty, first_
 from blockloom.operators.validate import SOURCE_RULES
 from blockloom.schemas import TIER_POLICIES
 from blockloom.session import written
+from blockloom.sources import committed
 from blockloom.sources.files import check_zone, valid_zone
 
 ARCHIVE_AFTER_DAYS = 30
@@ -124,9 +125,9 @@ def _balanced(df: DataFrame, *folders: str) -> DataFrame:
     return df.hint("rebalance", *folders)
 
 
-def write_by_month(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Append to month folders."""
-    _balanced(with_month(df, ts), "month").write.mode("append").partitionBy("month").parquet(path)
+def write_by_month(df: DataFrame, path: str, run: str, ts: str = "timestamp") -> None:
+    """Commit a run to the table at `path`, in month folders; a repeated run replaces its own rows."""
+    committed.commit(_balanced(with_month(df, ts), "month"), path, run, ["month"])
 
 
 def rows_per_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -269,7 +270,10 @@ def lifecycle_plan(items: DataFrame, as_of: str, policies=TIER_POLICIES) -> Data
 
 
 def lifecycle_apply(plan: DataFrame, path: str, as_of: str) -> None:
-    """Write items to `storage_class=` folders as planned; deleted items are left out."""
+    """Commit the items to `storage_class=` folders as planned; deleted items are left out.
+
+    The run is named by `as_of`: applying a day's plan again replaces what it moved before.
+    """
     moved = F.col("action") != "none"
     kept = (
         plan.filter("action <> 'delete'")
@@ -277,4 +281,4 @@ def lifecycle_apply(plan: DataFrame, path: str, as_of: str) -> None:
         .withColumn("moved_at", F.when(moved, F.lit(as_of).cast("timestamp")))
         .drop("policy", "target_class", "action", "age_days")
     )
-    _balanced(kept, "storage_class").write.mode("append").partitionBy("storage_class").parquet(path)
+    committed.commit(_balanced(kept, "storage_class"), path, as_of, ["storage_class"])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from blockloom.session import written
+from blockloom.sources import committed
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -109,15 +109,20 @@ def stamp_run(df: DataFrame, start: str, end: str, as_of: str) -> DataFrame:
     )
 
 
-def load_validated(df: DataFrame, valid: Column, path: str) -> bool:
-    """Append all rows, or none when one of them is invalid.
+def load_validated(df: DataFrame, valid: Column, path: str, run: str, allow_empty: bool = True) -> bool:
+    """Commit all rows as run `run` of the table at `path`, or none when one of them is invalid.
 
-    The rows are computed once: what is checked is what is written.
+    The rows are computed and written once: they are counted on their way into a folder that readers do not see
+    before it is published. A repeated run replaces its own rows. Read the table with `committed.read`.
     """
-    checked = written(df.withColumn("_valid", F.coalesce(valid, F.lit(False))), "load")
-    if not checked.filter("NOT _valid").isEmpty():
+    spark, seen = df.sparkSession, Observation()
+    counted = df.observe(seen, F.count("*").alias("rows"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"))
+    folder = committed.stage(counted, path, run)
+    found = seen.get
+    if found["invalid"] or not (found["rows"] or allow_empty):
+        committed.discard(spark, path, folder)
         return False
-    checked.drop("_valid").write.mode("append").parquet(path)
+    committed.publish(spark, path, run, folder, df.schema)
     return True
 
 
@@ -127,12 +132,9 @@ def split_valid(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(test), df.filter(~test)
 
 
-def run_batch(source: DataFrame, transforms: Transforms, names: Iterable[str], valid: Column, path: str) -> bool:
-    """Extract, transform and load as one plan and one write; false when a stage is empty."""
-    shaped = written(transforms.apply(source, names), "batch")
-    if shaped.isEmpty():
-        return False
-    return load_validated(shaped, valid, path)
+def run_batch(source: DataFrame, transforms: Transforms, names: Iterable[str], valid: Column, path: str, run: str) -> bool:
+    """Extract, transform and load as one plan and one write; false, and nothing committed, when it has no rows."""
+    return load_validated(transforms.apply(source, names), valid, path, run, allow_empty=False)
 
 
 def batch_outcomes(batches: DataFrame, batch: str, ok: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from blockloom.operators import transforms as tr
 from blockloom.plans.registry import query
 from blockloom.plans.standins import EVENTS_AS_OF
 from blockloom.schemas import RECORD_FIELDS
-from blockloom.sources import payload
+from blockloom.sources import committed, payload
 
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -191,9 +191,10 @@ def _(t):
 
     path = work_dir(t.spark, "etl")
     source = t.events.select("event_id", "user_id", "event_type", "value")
-    if not tr.run_batch(source, _transforms(), ["double_value", "tag"], F.col("value") >= 0, path):
-        raise ValueError("the batch was refused")
-    return t.spark.read.parquet(path)
+    for _ in range(2):  # a repeated run changes nothing
+        if not tr.run_batch(source, _transforms(), ["double_value", "tag"], F.col("value") >= 0, path, "day-1"):
+            raise ValueError("the batch was refused")
+    return committed.read(t.spark, path)
 
 
 @query("etl_load_validated", "SELECT event_id, user_id, value FROM events")
@@ -202,9 +203,11 @@ def _(t):
 
     path = work_dir(t.spark, "load")
     rows = t.events.select("event_id", "user_id", "value")
-    tr.load_validated(rows, F.col("value") < 0, f"{path}/refused")  # writes nothing: no row passes
-    tr.load_validated(rows, F.col("value") >= 0, f"{path}/kept")
-    return t.spark.read.parquet(f"{path}/*")
+    half = F.col("event_id") % 2 == 0
+    tr.load_validated(rows, F.col("value") < 0, path, "refused")  # commits nothing: no row passes
+    for run, part in (("even", rows.filter(half)), ("odd", rows.filter(~half)), ("even", rows.filter(half))):
+        tr.load_validated(part, F.col("value") >= 0, path, run)
+    return committed.read(t.spark, path)
 
 
 @query("quarantine_split", "SELECT event_id, value >= 5 AS kept FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from blockloom.functions.crypto import encrypt
 from blockloom.operators import lifecycle
 from blockloom.session import work_dir
+from blockloom.sources import committed
 
 AS_OF = "2024-06-30 00:00:00"
 
@@ -93,8 +94,11 @@ def test_archive_and_restore(spark):
 
 def test_months(spark):
     path = work_dir(spark, "months")
-    lifecycle.write_by_month(table(spark), path)
-    assert spark.read.parquet(path).filter("month = '2024_05'").count() == 2
+    for _ in range(2):
+        lifecycle.write_by_month(table(spark), path, "first")
+    assert committed.read(spark, path).filter("month = '2024_05'").count() == 2
+    lifecycle.write_by_month(table(spark), path, "second")
+    assert committed.read(spark, path).filter("month = '2024_05'").count() == 4
     assert rows(lifecycle.rows_per_month(table(spark))) == [("2024_04", 1), ("2024_05", 2), ("2024_06", 1)]
 
 
@@ -143,8 +147,9 @@ def test_tier_moves_and_deletes(spark):
     path = work_dir(spark, "tiers")
     items = spark.createDataFrame([(1, datetime(2020, 1, 1), "local"), (2, datetime(2024, 6, 1), "local"), (3, datetime(2024, 1, 1), "local")], "id long, created_at timestamp, storage_class string")
     policies = [("keep", 100, "archive"), ("drop", 1000, "delete")]
-    lifecycle.lifecycle_apply(lifecycle.lifecycle_plan(items, AS_OF, policies), path, AS_OF)
-    out = spark.read.parquet(path)
+    for _ in range(2):
+        lifecycle.lifecycle_apply(lifecycle.lifecycle_plan(items, AS_OF, policies), path, AS_OF)
+    out = committed.read(spark, path)
     assert rows(out.select("id", "storage_class")) == [(2, "local"), (3, "archive")]
     assert out.filter("moved_at is not null").count() == 1
 

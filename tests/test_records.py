@@ -11,6 +11,7 @@ from blockloom.operators import records, validate
 from blockloom.operators import transforms as tr
 from blockloom.schemas import RECORD_FIELDS
 from blockloom.session import work_dir
+from blockloom.sources import committed
 from blockloom.sources import payload
 
 
@@ -164,15 +165,28 @@ def test_extract_binds_parameters(spark):
 def test_load_is_all_or_nothing(spark):
     path = work_dir(spark, "t")
     df = spark.createDataFrame([(1,), (-1,)], "v long")
-    assert not tr.load_validated(df, F.col("v") > 0, path)
-    assert tr.load_validated(df.filter("v > 0"), F.col("v") > 0, path)
-    assert spark.read.parquet(path).count() == 1
+    assert not tr.load_validated(df, F.col("v") > 0, path, "a")
+    for _ in range(2):
+        assert tr.load_validated(df.filter("v > 0"), F.col("v") > 0, path, "a")
+    assert not tr.load_validated(df, F.col("v") > 0, path, "a")
+    assert rows(committed.read(spark, path)) == [(1,)]
     kept, held = tr.split_valid(df.union(spark.sql("select cast(null as long)")), F.col("v") > 0)
     assert (kept.count(), held.count()) == (1, 2)
 
 
 def test_batch_of_nothing(spark):
-    assert not tr.run_batch(spark.range(0), tr.Transforms(), [], F.lit(True), work_dir(spark, "t"))
+    path = work_dir(spark, "t")
+    assert not tr.run_batch(spark.range(0), tr.Transforms(), [], F.lit(True), path, "a")
+    assert not tr.run_batch(spark.range(9).filter("id > 9"), tr.Transforms(), [], F.lit(True), path, "a")
+    assert committed.snapshot(spark, path) == []
+
+
+def test_batch_twice_is_once(spark):
+    path = work_dir(spark, "t")
+    for _ in range(2):
+        assert tr.run_batch(spark.range(5), tr.Transforms(), [], F.col("id") >= 0, path, "a")
+    assert not tr.run_batch(spark.range(9), tr.Transforms(), [], F.col("id") > 0, path, "a")
+    assert committed.read(spark, path).count() == 5
 
 
 def test_timestamps(spark):
