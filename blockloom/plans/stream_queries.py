@@ -10,7 +10,7 @@ from blockloom.plans.quality_queries import DOCS, MEASURED
 from blockloom.plans.registry import query
 from blockloom.plans.standins import EVENTS_AS_OF, Tables
 from blockloom.session import work_dir
-from blockloom.streaming import stateful, streams
+from blockloom.streaming import stateful, streams, uniques
 
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -22,6 +22,36 @@ def _events(t: Tables):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+SLICES, LATEST = 4, 6 * 3600  # files of events by arrival, and by how many seconds an event may come late
+
+
+def _late_events(t):
+    """The events as a stream of files in the order of their arrival, which is not that of their times.
+
+    Every event comes up to LATEST seconds late; a last file holds one row without an id, a heartbeat that closes the
+    stream. One slice is a trigger. Returns the stream and the watermark's delay that this disorder needs.
+    """
+    root = work_dir(t.spark, "arrivals")
+    events = t.spark.read.schema(EVENTS).parquet(f"{t.sf_dir}/events.parquet")
+    late = F.pmod(F.hash("event_id"), F.lit(LATEST))
+    first, last = events.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    length = (last - first + LATEST) // SLICES + 1
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + late - F.lit(first)
+    events.withColumn("slice", F.floor(arrival / length).cast("int")).write.partitionBy("slice").parquet(f"{root}/slices")
+    for k in range(SLICES):
+        part = t.spark.read.schema(f"{EVENTS}, slice int").parquet(f"{root}/slices").filter(F.col("slice") == k).drop("slice")
+        part.write.mode("append").parquet(f"{root}/in")
+    files = len(t.spark.read.schema(EVENTS).parquet(f"{root}/in").inputFiles())
+    delay = length + LATEST
+    beat = F.timestamp_seconds(F.lit(last + 2 * delay)).cast("timestamp_ntz")
+    heartbeat = t.spark.range(1).select(beat.alias("ts")).select(
+        *[(F.col("ts") if name == "ts" else F.lit(None).cast(kind)).alias(name) for name, kind in (c.split() for c in EVENTS.split(", "))]
+    )
+    heartbeat.write.mode("append").parquet(f"{root}/in")
+    stream = streams.sample_stream(t.spark, f"{root}/in", EVENTS, max_files=max(1, files // SLICES))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")), f"{delay} seconds"
+
+
 @query("stream_samples", "SELECT event_id, event_type AS series, value FROM events")
 def _(t):
     root = work_dir(t.spark, "stream")
@@ -37,9 +67,11 @@ def _(t):
 )
 def _(t):
     root = work_dir(t.spark, "stream")
-    rates = streams.tumbling_tps(_events(t), ["event_type"], "ts", F.lit(1))
-    streams.run_to_table(rates, f"{root}/out", f"{root}/cp", mode="complete")
-    return t.spark.read.parquet(f"{root}/out").withColumn("window_start", iso_text(F.col("window_start")))
+    events, delay = _late_events(t)
+    totals = streams.window_totals(events.filter("event_id IS NOT NULL"), ["event_type"], "ts", F.lit(1), delay=delay)
+    streams.run_upserts(totals, f"{root}/out", f"{root}/cp", ["event_type", "window_start"])
+    rates = streams.tumbling_tps(streams.newest_rows(t.spark, f"{root}/out", ["event_type", "window_start"]), ["event_type"])
+    return rates.withColumn("window_start", iso_text(F.col("window_start")))
 
 
 @query(
@@ -48,18 +80,27 @@ def _(t):
 )
 def _(t):
     root = work_dir(t.spark, "stream")
-    rates = streams.sliding_tps(_events(t), ["event_type"], "ts", F.lit(1))
-    streams.run_to_table(rates, f"{root}/out", f"{root}/cp", mode="complete")
-    return t.spark.read.parquet(f"{root}/out").withColumn("window_end", F.unix_timestamp("window_end"))
+    events, delay = _late_events(t)
+    totals = streams.window_totals(events.filter("event_id IS NOT NULL"), ["event_type"], "ts", F.lit(1), delay=delay)
+    streams.run_upserts(totals, f"{root}/out", f"{root}/cp", ["event_type", "window_start"], merge_every=2)
+    rates = streams.sliding_tps(streams.newest_rows(t.spark, f"{root}/out", ["event_type", "window_start"]), ["event_type"])
+    return rates.withColumn("window_end", F.unix_timestamp("window_end"))
 
 
-@query("stream_unique_blocks", "SELECT DISTINCT user_id FROM events")
+@query("stream_unique_blocks", f"SELECT user_id, strftime(MIN(ts), {ISO}) AS ts FROM events GROUP BY user_id")
 def _(t):
     root = work_dir(t.spark, "stream")
-    # The watermark spans the table, so each key is kept once.
-    stream = streams.unique_blocks(_events(t), "ts", "user_id", "60 days").select("user_id")
-    streams.run_to_table(stream, f"{root}/out", f"{root}/cp")
-    return t.spark.read.parquet(f"{root}/out")
+    # In the order of the table's times no key comes before its first event.
+    events = t.spark.read.schema(EVENTS).parquet(f"{t.sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
+    events.select("user_id", "ts", "day").write.partitionBy("day").parquet(f"{root}/days")
+    first, last = events.agg(F.min("day"), F.max("day")).first()
+    middle = first + (last - first) / 2
+    for part in (F.col("day") <= middle, F.col("day") > middle):
+        t.spark.read.parquet(f"{root}/days").filter(part).drop("day").write.mode("append").parquet(f"{root}/in")
+    files = len(t.spark.read.parquet(f"{root}/in").inputFiles())
+    stream = streams.sample_stream(t.spark, f"{root}/in", "user_id bigint, ts timestamp_ntz", max_files=max(1, files // 2))
+    uniques.unique_stream(stream, "user_id", ["ts"], f"{root}/out", f"{root}/cp")
+    return uniques.read_uniques(t.spark, f"{root}/out").withColumn("ts", iso_text(F.col("ts")))
 
 
 @query("stream_threshold_alerts", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 15")
@@ -80,8 +121,11 @@ def _(t):
 )
 def _(t):
     root = work_dir(t.spark, "stream")
-    high = _events(t).filter("value > 5").withColumnRenamed("event_type", "series")
-    streams.run_to_table(stateful.debounce(high, "series", "ts", 3600), f"{root}/out", f"{root}/cp")
+    events, delay = _late_events(t)
+    beat = F.col("event_id").isNull()
+    high = events.filter(beat | (F.col("value") > 5)).withColumnRenamed("event_type", "series")
+    fired = stateful.debounce(high, "series", "ts", 3600, delay, beat)
+    streams.run_to_table(fired, f"{root}/out", f"{root}/cp")
     return t.spark.read.parquet(f"{root}/out").withColumn("ts", iso_text(F.col("ts")))
 
 
@@ -92,8 +136,10 @@ def _(t):
 )
 def _(t):
     root = work_dir(t.spark, "stream")
-    tries = _events(t).filter(F.col("event_type").isin("error", "signup"))
-    out = stateful.lockout(tries, "user_id", "ts", F.col("event_type") == "error")
+    events, delay = _late_events(t)
+    beat = F.col("event_id").isNull()
+    tries = events.filter(beat | F.col("event_type").isin("error", "signup"))
+    out = stateful.lockout(tries, "user_id", "ts", F.col("event_type") == "error", delay=delay, heartbeat=beat)
     streams.run_to_table(out, f"{root}/out", f"{root}/cp")
     return t.spark.read.parquet(f"{root}/out").withColumn("locked_until", iso_text(F.col("locked_until")))
 
@@ -105,10 +151,8 @@ def _(t):
     documents = t.chain_documents.drop("lang")
     documents.write.parquet(f"{root}/in")
     stream = t.spark.readStream.schema(documents.schema).parquet(f"{root}/in")
-    streams.ingest_with_quality(
-        stream, "ingest", EVENTS_AS_OF, ["doc_id"], f"{root}/data", f"{root}/metrics", f"{root}/cp"
-    )
-    return t.spark.read.parquet(f"{root}/metrics").select("doc_id", "stage", "score")
+    streams.ingest_with_quality(stream, "ingest", EVENTS_AS_OF, f"{root}/out", f"{root}/cp")
+    return streams.quality_table(t.spark, f"{root}/out", "doc_id").select("doc_id", "stage", "score")
 
 
 @query("stream_backup", "SELECT event_id, user_id, value FROM events")
