@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.operators.ordered import Running, running, to_blocks
+from blockloom.operators.ordered import BLOCK, LABEL, streaks, to_blocks
 from blockloom.schemas import ROLES
 
 MAX_FAILURES = 3
@@ -30,18 +30,13 @@ def unrevoked(events: DataFrame, revocations: DataFrame, token: str, as_of: str)
 def lockout(attempts: DataFrame, user: str, order: list[str], ts: str, failed: Column) -> DataFrame:
     """Consecutive failures up to each attempt; from the third on the user is locked for 300 s.
 
-    Failures so far, less failures at the last success: two running values over blocks, so the
-    attempts of one user may be spread over many tasks.
+    One pass over blocks, so the attempts of one user may be spread over many tasks.
     """
     blocks = to_blocks(attempts.withColumn("_failed", failed.cast("bigint")), [user], order)
-    counted = running(blocks, [user], order, [Running("_failures", "sum", F.col("_failed"))])
-    cleared = F.when(F.col("_failed") == 0, F.col("_failures"))
-    ran = running(counted, [user], order, [Running("_cleared", "max", cleared)])
-    streak = F.col("_failures") - F.coalesce("_cleared", F.lit(0))
+    ran = streaks(blocks, [user], order, F.col("_failed"), F.col("_failed") == 0, "consecutive_failures")
     locked = F.col("consecutive_failures") >= MAX_FAILURES
     return (
-        ran.withColumn("consecutive_failures", streak)
-        .withColumn("locked", locked)
+        ran.withColumn("locked", locked)
         .withColumn("locked_until", F.when(locked, F.col(ts) + F.expr(f"INTERVAL {LOCK_SECONDS} SECONDS")))
-        .drop("_failed", "_failures", "_cleared", "_block")
+        .drop("_failed", BLOCK, LABEL)
     )

@@ -2,23 +2,22 @@
 
 A plain window sends all rows of one key to one task. Here rows are range-partitioned on
 (keys, order) first, so a key that holds a third of the table is spread over many blocks. Each
-block needs only a small carried value from the blocks before it, and the carried values are one
-row per (block, key). `order` must identify a row within its key: ties would follow the sort.
+block needs only a small carried value from the blocks before it. Carries exist only for keys that reach
+over a block's end, at most two a block, and are joined by broadcast; the rows themselves stay where the range
+partitioning put them, in a table bucketed by block. `order` must identify a row within its key: ties would
+follow the sort.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.session import written
-
-BLOCK = "_block"
-_POS = "_pos"
-_BEFORE, _ROW, _AFTER = 0, 1, 2
+from blockloom.session import bucketed, written
 
+BLOCK, LABEL = "_block", "_label"  # place of a block in the order, and the number its bucket goes by
 
 BYTES_PER_BLOCK = 128 << 20  # of stored input
 _UNKNOWN_SIZE = 1 << 60  # larger estimates are Spark's stand-in for "not known"
@@ -35,17 +34,32 @@ class Running(NamedTuple):
 
 
 def to_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
-    """Range-partition on keys + order and fix each row's block number in a written table.
+    """Range-partition on keys + order and fix each row's block in a table bucketed by block.
 
-    The table keeps the numbers the same for the two branches that read them, and a lost executor
-    is replaced without sampling the ranges again. Rows are written in order, so the sorts that
-    follow find them nearly done.
+    The table keeps the blocks the same for all that read them, a lost executor is replaced without sampling
+    the ranges again, and windows within a block need no shuffle.
     """
     if blocks is None and stored_size(df) is None:
         df = written(df, "sized")
     parts = blocks or block_count(df)
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
-    return written(ranged.sortWithinPartitions(*keys, *order), "blocks")
+    at = F.spark_partition_id()
+    label = F.coalesce(F.try_element_at(F.lit(_labels(df.sparkSession, parts)), at + 1), at + _UNLABELLED)
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumns({BLOCK: at, LABEL: label})
+    return bucketed(ranged, "blocks", parts, LABEL, [*keys, *order])
+
+
+_UNLABELLED = 1 << 30
+_known_labels: dict[int, list[int]] = {}
+
+
+def _labels(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n blocks that Spark's hash puts into a bucket of its own."""
+    if n not in _known_labels:
+        tried = spark.range(n * 20).select(F.col("id").cast("int").alias("id"))
+        found = tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("bucket")).agg(F.min("id").alias("id")).collect()
+        hit = {row["bucket"]: row["id"] for row in found}
+        _known_labels[n] = [hit.get(i, _UNLABELLED - 1 - i) for i in range(n)]
+    return _known_labels[n]
 
 
 def stored_size(df: DataFrame) -> int | None:
@@ -74,7 +88,7 @@ def _fold(kind: str, value: Column) -> Column:
 
 
 def _block_value(run: Running, order: list[str]) -> Column:
-    """The whole block's contribution as an aggregate that combines map-side."""
+    """The whole block's contribution as an aggregate."""
     value = F.col(f"_v_{run.name}")
     if run.kind != "last":
         return _fold(run.kind, value)
@@ -82,47 +96,90 @@ def _block_value(run: Running, order: list[str]) -> Column:
     return pick(F.when(value.isNotNull(), F.struct(*order, value.alias("_value"))))["_value"]
 
 
+def _edges(per_block: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows per (keys, block) those of the first and the last key of each block: only these reach over its ends."""
+    if not keys:
+        return per_block
+    block, key = Window.partitionBy(LABEL, BLOCK), F.struct(*keys)
+    bounded = per_block.withColumns({"_first": F.min(key).over(block), "_last": F.max(key).over(block)})
+    return bounded.filter(key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_last"))).drop("_first", "_last")
+
+
+def _with_carry(rows: DataFrame, carries: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Rows with the values carried into their block for their key; at most two carries a block are broadcast."""
+    known = carries.select(
+        F.col(LABEL).alias("_its_label"), F.col(BLOCK).alias("_its_block"), *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *names
+    )
+    same = (F.col(LABEL) == F.col("_its_label")) & (F.col(BLOCK) == F.col("_its_block"))
+    for i, key in enumerate(keys):
+        same &= F.col(key).eqNullSafe(F.col(f"_key_{i}"))
+    joined = rows.join(F.broadcast(known), same, "left")
+    return joined.drop("_its_label", "_its_block", *[f"_key_{i}" for i in range(len(keys))])
+
+
+def _both(kind: str, carry: Column, own: Column) -> Column:
+    """A carried value and one of the block itself, either of which may be missing."""
+    if kind == "sum":
+        return F.when(carry.isNull(), own).when(own.isNull(), carry).otherwise(carry + own)
+    if kind == "last":
+        return F.coalesce(own, carry)
+    return (F.least if kind == "min" else F.greatest)(carry, own)
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], runs: list[Running]) -> DataFrame:
     """Add running values per key in `order` to rows stamped by `to_blocks`."""
-    columns = [c for c in df.columns if c != BLOCK]
+    columns = [c for c in df.columns if c not in (BLOCK, LABEL)]
     staged = df.select("*", *[r.source.alias(f"_v_{r.name}") for r in runs])
-    per_block = staged.groupBy(*keys, BLOCK).agg(*[_block_value(r, order).alias(f"_v_{r.name}") for r in runs])
+    per_block = staged.groupBy(LABEL, *keys, BLOCK).agg(*[_block_value(r, order).alias(f"_v_{r.name}") for r in runs])
+    types = {f.name: f.dataType for f in per_block.schema}
 
     carried = []
-    for position, backward in ((_BEFORE, False), (_AFTER, True)):
-        chosen = [r for r in runs if r.backward == backward]
-        if not chosen:
-            continue
-        block_order = F.col(BLOCK).desc() if backward else F.col(BLOCK).asc()
+    for r in runs:
+        block_order = F.col(BLOCK).desc() if r.backward else F.col(BLOCK).asc()
         earlier = Window.partitionBy(*keys).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
-        carried.append(
-            per_block.select(
-                *keys,
-                BLOCK,
-                *[_fold(r.kind, F.col(f"_v_{r.name}")).over(earlier).alias(f"_v_{r.name}") for r in chosen],
-                F.lit(position).alias(_POS),
-            )
-        )
-
-    rows = staged.withColumn(_POS, F.lit(_ROW))
-    for carry in carried:
-        rows = rows.unionByName(carry, allowMissingColumns=True)
+        carried.append(_fold(r.kind, F.col(f"_v_{r.name}")).over(earlier).alias(f"_c_{r.name}"))
+    carries = _edges(per_block, keys).select(LABEL, BLOCK, *keys, *carried)
+    names = [f"_c_{r.name}" for r in runs]
+    rows = _with_carry(staged, carries, keys, names)
 
-    within = Window.partitionBy(BLOCK, *keys)
-    forward = within.orderBy(_POS, *order)
-    backward_w = within.orderBy(F.col(_POS).desc(), *[F.col(c).desc() for c in order])
+    within = Window.partitionBy(LABEL, BLOCK, *keys)
     out = []
     for r in runs:
-        window = (backward_w if r.backward else forward).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow if r.inclusive else -1
-        )
-        out.append(_fold(r.kind, F.col(f"_v_{r.name}")).over(window).alias(r.name))
-    return rows.select(*columns, BLOCK, _POS, *out).filter(F.col(_POS) == _ROW).drop(_POS)
+        window = within.orderBy(*[F.col(c).desc() if r.backward else F.col(c).asc() for c in order])
+        own = _fold(r.kind, F.col(f"_v_{r.name}")).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow if r.inclusive else -1))
+        out.append(_both(r.kind, F.col(f"_c_{r.name}"), own).cast(types[f"_v_{r.name}"]).alias(r.name))
+    return rows.select(*columns, BLOCK, LABEL, *out)
+
+
+def streaks(df: DataFrame, keys: list[str], order: list[str], value: Column, reset: Column, name: str = "streak") -> DataFrame:
+    """Add the sum of `value` since the last row with `reset`, that row included, to rows stamped by `to_blocks`.
+
+    A block is the pair (was there a reset, sum since the last one); pairs combine from block to block.
+    """
+    columns = [c for c in df.columns if c not in (BLOCK, LABEL)]
+    flagged = df.withColumns({"_reset": F.coalesce(reset, F.lit(False)).cast("int"), "_value": value})
+    within = Window.partitionBy(LABEL, BLOCK, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy(LABEL, BLOCK, *keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = flagged.withColumn("_part", F.sum("_reset").over(within)).withColumn("_own", F.sum("_value").over(since))
+    last = F.max(F.struct(*order, "_part", "_own"))
+    per_block = summed.groupBy(LABEL, *keys, BLOCK).agg(last["_part"].alias("_part"), last["_own"].alias("_own"))
+
+    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    parts = Window.partitionBy(*keys, "_section").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = (
+        _edges(per_block, keys)
+        .withColumn("_section", F.sum(F.when(F.col("_part") > 0, 1).otherwise(0)).over(blocks))
+        .withColumn("_after", F.sum("_own").over(parts))
+        .withColumn("_carry", F.lag("_after").over(blocks))
+    )
+    rows = _with_carry(summed, after, keys, ["_carry"])
+    total = F.col("_own") + F.when(F.col("_part") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0)
+    return rows.select(*columns, BLOCK, LABEL, total.alias(name))
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], runs: list[Running]) -> DataFrame:
     """`to_blocks` followed by one `running` pass, block numbers dropped."""
-    return running(to_blocks(df, keys, order), keys, order, runs).drop(BLOCK)
+    return running(to_blocks(df, keys, order), keys, order, runs).drop(BLOCK, LABEL)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "row_no") -> DataFrame:

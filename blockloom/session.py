@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +67,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[tuple[object, object]] = []  # (file system, path) of tables made by `written`
+_scratch: list[tuple[SparkSession, str, str | None]] = []  # (session, path, table name) of what was written
+
+
+def _as_scratch(spark: SparkSession, name: str, table: bool = False) -> tuple[str, str | None]:
+    """A fresh scratch folder that `release` removes, with a table name if one is wanted."""
+    path = work_dir(spark, name)
+    if not _scratch:
+        atexit.register(release)
+    known_as = f"scratch_{uuid.uuid4().hex}" if table else None
+    _scratch.append((spark, path, known_as))
+    return path, known_as
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -73,21 +85,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The table is scratch of this application; `release` or the end of the program removes it.
     """
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    if not _scratch:
-        atexit.register(release)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _scratch.append((target.getFileSystem(spark._jsc.hadoopConfiguration()), target))
+    path, _ = _as_scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str, order: list[str]) -> DataFrame:
+    """`df` as a scratch table in the shared folder whose files are bucketed `by` a column and sorted.
+
+    What groups or windows by that column reads it without a shuffle.
+    """
+    path, table = _as_scratch(df.sparkSession, name, table=True)
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(*order).saveAsTable(table)
+    return df.sparkSession.table(table)
 
-def release() -> None:
-    """Remove the scratch tables made so far. Frames that read them can no longer run."""
-    while _scratch:
-        system, path = _scratch.pop()
+
+def release(since: int = 0) -> None:
+    """Remove the scratch tables made so far, or those after the first `since`. Frames that read them can no longer run."""
+    while len(_scratch) > since:
+        spark, path, table = _scratch.pop()
         try:
-            system.delete(path, True)
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the JVM may be gone; what is left lies in the shared folder
             return
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove at its end what was written within: for results that were saved elsewhere by then."""
+    since = len(_scratch)
+    try:
+        yield
+    finally:
+        release(since)
