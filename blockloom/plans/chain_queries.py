@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import iso_text
@@ -393,9 +396,14 @@ def _(t):
 
 @query(
     "page_slice",
-    """SELECT block_number, block_hash FROM headers ORDER BY block_number
-       LIMIT 1000 OFFSET 500""",
+    """WITH p AS (SELECT block_number, block_hash, row_number() OVER (ORDER BY block_number) - 1 AS place, count(*) OVER () AS n FROM headers),
+       v AS (SELECT *, CASE WHEN asked < 0 THEN greatest(n + asked, 0) ELSE asked END AS first FROM p, (VALUES (500, 300), (-350, 400)) v(asked, wanted))
+       SELECT block_number, block_hash, (place - first) // 100 AS page FROM v WHERE place >= first AND place < first + wanted""",
     ("headers",),
 )
 def _(t):
-    return block_source.page(t.headers.select("block_number", "block_hash"), ["block_number"], 500, 1000)
+    """Three pages near the start, and all pages from 350 rows before the end on."""
+    index = block_source.PageIndex(t.headers.select("block_number", "block_hash"), ["block_number"])
+    starts = [(500, k) for k in range(3)] + [(max(len(index) - 350, 0), k) for k in range(4)]
+    pages = [index.page(start + 100 * k, 100).withColumn("page", F.lit(k).cast("long")) for start, k in starts]
+    return reduce(DataFrame.unionByName, pages)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators.ordered import BLOCK, to_blocks
+
 
 def block_range(blocks: DataFrame, start: int | str, end: int | str = "latest", with_transactions: bool = True) -> DataFrame:
     """Blocks with start <= number <= end; 'latest' is the highest number, also as a start."""
@@ -41,6 +43,48 @@ def fetch_summary(blocks: DataFrame) -> DataFrame:
     )
 
 
+class PageIndex:
+    """Pages of a table in key order, of which each reads only the blocks it touches.
+
+    The rows are range-partitioned by key and written in blocks once, and the driver keeps a count and the files of each
+    block. Any page then comes from one or two blocks, however deep it lies. `keys` must identify a row.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], blocks: int | None = None):
+        self._keys, self._columns = keys, df.columns
+        self._table = to_blocks(df, [], keys, blocks)
+        placed = self._table.select(BLOCK, F.input_file_name().alias("file"))
+        counted = placed.groupBy(BLOCK).agg(F.count("*").alias("n"), F.collect_set("file").alias("files")).collect()
+        self._blocks = [(row["n"], row["files"]) for row in sorted(counted, key=lambda row: row[BLOCK])]
+
+    def __len__(self) -> int:
+        return sum(n for n, _ in self._blocks)
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Rows [offset, offset + limit) in key order; none beyond the end."""
+        if offset < 0 or limit < 0:
+            raise ValueError("offset and limit must not be negative")
+        files, skip, start = [], 0, 0
+        for n, its_files in self._blocks:
+            if start < offset + limit and start + n > offset:
+                skip = skip if files else offset - start
+                files += its_files
+            start += n
+        if not files:
+            return self._table.limit(0).select(*self._columns)
+        rows = self._table.sparkSession.read.schema(self._table.schema).parquet(*files)
+        return rows.orderBy(*self._keys).offset(skip).limit(limit).select(*self._columns)
+
+
+def page(self, offset: int, limit: int) -> DataFrame:
+        """Rows [offset, offset + limit) in key order; none beyond the end."""
+        if offset < 0 or limit < 0:
+            raise ValueError("offset and limit must not be negative")
+        labels, skip = self.touched(offset, limit)
+        rows = self._table.filter(F.col(LABEL).isin(labels)) if labels else self._table.limit(0)
+        return rows.orderBy(*self._keys).offset(skip).limit(limit).select(*self._columns)
+
+
 def page(df: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
-    """One page in key order. To walk all pages, number rows once (`ordered.number_rows`) instead."""
-    return df.orderBy(*keys).offset(offset).limit(limit)
+    """One page in key order. To read several, keep a `PageIndex`."""
+    return PageIndex(df, keys).page(offset, limit)

@@ -171,3 +171,15 @@ def test_amounts_beyond_two_digits_and_doubles(spark):
     df = spark.createDataFrame(rows, "v string").select(F.col("v").cast("decimal(38,0)").alias("value"))
     got = chain.amount_statistics(df, "value").first()
     assert (got["mean"], got["median"], got["max"]) == (2e18, 2e18, 3e18)
+
+
+def test_a_deep_page_reads_one_or_two_blocks(spark):
+    numbers = spark.range(0, 200_000, 1, 7).select((F.col("id") * 7919 % 200_000).alias("n"), F.hash("id").alias("h"))
+    index = block_source.PageIndex(numbers, ["n"], blocks=20)
+    assert len(index) == 200_000
+    for offset, limit in ((0, 100), (100_000, 100), (199_950, 100), (123_456, 1), (200_000, 10), (5, 0)):
+        got = index.page(offset, limit)
+        assert [r["n"] for r in got.collect()] == list(range(offset, min(offset + limit, 200_000)))
+        assert offset == 200_000 or not limit or 1 <= len(index.page(offset, limit).inputFiles()) <= 2
+    assert index.page(0, 10**6).count() == 200_000
+    assert block_source.PageIndex(numbers.limit(0), ["n"], 3).page(0, 10).collect() == []
