@@ -6,16 +6,20 @@ so the expansion acts on at most one row per key and minute, not on the log.
 
 from __future__ import annotations
 
-from math import ceil, gcd, log2
+from collections.abc import Iterator
+from itertools import islice
+from math import gcd
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from blockloom.functions.scalars import ratio
-from blockloom.operators.ordered import Running, exact_quantiles, rolling_rows, running, scan, to_blocks, trailing_range
-from blockloom.session import written
+from blockloom.operators.ordered import BLOCK, Running, exact_quantiles, rolling_rows, scan, to_blocks, trailing_range
 
 # Default histogram bounds in seconds: fixed values.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, float("inf"))
@@ -221,80 +225,120 @@ def first_point(resampled: DataFrame, series: str, names: list[str]) -> DataFram
 # Debounce
 
 
-def debounce(alerts: DataFrame, keys: list[str], ts: str, seconds: int = 10, max_session: int = 100_000) -> DataFrame:
+def debounce(alerts: DataFrame, keys: list[str], ts: str, seconds: int = 10) -> DataFrame:
     """Times at which an alert fires when it may fire again only `seconds` after it last fired.
 
-    An alert fires depending on the last one that fired, so this is no window. A gap of at least
-    `seconds` before an alert makes it fire whatever came before; such alerts start sessions that
-    do not depend on each other. Sessions of at most `max_session` alerts are walked in one group
-    each. In longer ones each alert points to the first one `seconds` later, and those reachable
-    from the start fire: log2 rounds of joins that double the pointers, so a session of any size
-    stays distributed.
+    Which alerts fire depends on the one that fired last, so this is no window, but over any stretch of a key's alerts it
+    is a function from "last fired before" to "last fired after". Alerts are range-partitioned by (keys, time); each
+    stretch that reaches over a block's end gives its function, as the few pieces in which it is constant; the
+    functions of a key are composed in order; then each stretch is walked once from what it was handed. At most
+    two stretches a block are composed, so what the driver gathers and broadcasts is a number per stretch.
     """
     gap = seconds * 1_000_000
-    ran = _sessions(alerts, keys, ts, gap)
-    starts = ran.filter(F.col("_at") == F.col("_session")).select(*keys, "_at")
-    session = [*keys, "_session"]
-    # Alerts too close to their session's start cannot fire.
-    later = ran.filter(F.col("_at") - F.col("_session") >= gap)
-    sizes = later.groupBy(*session).agg(F.count("*").alias("_n"), (F.max("_at") - F.col("_session")).alias("_span"))
-    large = written(sizes.filter(F.col("_n") > max_session), "debounce")
-    longest = large.agg(F.max("_span")).first()[0]
-
-    small = later if longest is None else later.join(large, session, "left_anti")
-    fired = starts.unionByName(small.groupBy(*session).applyInPandas(_walk(keys, gap), later.schema).drop("_session"))
-    if longest is not None:
-        fired = fired.unionByName(_reachable(ran, large, keys, gap, longest // gap)).distinct()
-    return fired.select(*keys, F.timestamp_micros("_at").alias(ts))
-
-
-def _sessions(alerts: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
-    """Distinct alert times `_at` with the start `_session` of the session each is in.
-
-    Times are sorted within their key, so the latest earlier one is a running maximum.
-    """
-    points = alerts.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).distinct()
-    seen = Running("_previous", "max", F.col("_at"), inclusive=False)
-    lagged = running(to_blocks(points, keys, ["_at"]), keys, ["_at"], [seen])
-    begins = F.coalesce(F.col("_at") - F.col("_previous") >= gap, F.lit(True))
-    flagged = written(lagged.withColumn("_start", F.when(begins, F.col("_at"))).drop("_previous"), "debounce")
-    ran = running(flagged, keys, ["_at"], [Running("_session", "max", F.col("_start"))])
-    return written(ran.select(*keys, "_session", "_at"), "debounce")
-
-
-def _walk(keys: list[str], gap: int):
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["_at"].to_numpy())
-        last, fired = key[-1], []
-        while (i := np.searchsorted(times, last + gap)) < len(times):
-            last = int(times[i])
-            fired.append(last)
-        columns = {name: [value] * len(fired) for name, value in zip([*keys, "_session"], key, strict=True)}
-        return pd.DataFrame({**columns, "_at": fired})
-
-    return run
-
-
-def _reachable(ran: DataFrame, large: DataFrame, keys: list[str], gap: int, steps: int) -> DataFrame:
-    """Alerts of the large sessions that pointers lead to from the start, in at most `steps` steps."""
-    session = [*keys, "_session"]
-    points = ran.join(large, session, "left_semi").select(*session, "_at")
-    # A probe `gap` after each alert sorts before an alert of equal time, so looking back from the
-    # end it sees that alert: the smallest time still to come.
-    probes = points.select(*session, (F.col("_at") + gap).alias("_at"), F.lit(-1).alias("_probe"), F.col("_at").alias("_owner"))
-    marked = points.withColumn("_probe", F.lit(0)).unionByName(probes, allowMissingColumns=True)
-    own = F.when(F.col("_probe") == 0, F.col("_at"))
-    pointed = scan(marked, session, ["_at", "_probe"], [Running("_to", "min", own, backward=True)])
-    jumps = written(
-        pointed.filter("_probe = -1 and _to is not null").select(*keys, F.col("_owner").alias("_at"), "_to"), "debounce"
+    points = alerts.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).filter("_at IS NOT NULL").distinct()
+    blocks = to_blocks(points, keys, ["_at"]).select(*keys, "_at", BLOCK)
+    key_fields = [blocks.schema[k] for k in keys]
+    pieces = StructType(
+        [*key_fields, StructField("_first", LongType()), *[StructField(c, ArrayType(LongType())) for c in ("_starts", "_lasts")]]
     )
-    fired = large.select(*keys, F.col("_session").alias("_at"))
-    rounds = ceil(log2(steps + 1))
-    for turn in range(rounds):
-        reached = fired.join(jumps, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))
-        fired = written(fired.unionByName(reached).distinct(), "debounce")
-        if turn + 1 < rounds:
-            second = jumps.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
-            doubled = jumps.join(second, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to"))
-            jumps = written(doubled, "debounce")
-    return fired
+    entries = StructType([*key_fields, StructField("_first", LongType()), StructField("_last", LongType())])
+    functions = blocks.mapInArrow(_stretch_functions(gap, pieces), pieces)
+    ordered = functions.repartition(*keys) if keys else functions.coalesce(1)
+    handed = ordered.sortWithinPartitions(*keys, "_first").mapInArrow(_compose(gap, len(keys), entries), entries)
+    # Arrow values on both sides, so that keys of any type compare equal.
+    known = {(tuple(row[:-2]), row[-2]): row[-1] for row in zip(*[c.to_pylist() for c in handed.toArrow().columns], strict=True)}
+    fired = StructType([*key_fields, StructField("_at", LongType())])
+    out = blocks.mapInArrow(_fire(gap, blocks.sparkSession.sparkContext.broadcast(known), fired), fired)
+    return out.select(*keys, F.timestamp_micros("_at").alias(ts))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, np.ndarray]]:
+    """(block, key, times) of adjacent rows that share block and key; a long stretch comes in several parts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *key_columns, times, block = batch.columns
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for column in (*key_columns, block):
+            codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            change[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(change)
+        values = times.to_numpy()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield block[start].as_py(), tuple(c[start].as_py() for c in key_columns), values[start:end]
+
+
+def _arrow_rows(records: Iterator[tuple], kind: StructType, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(kind)
+    while held := list(islice(records, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _stretch_functions(gap: int, kind: StructType):
+    """For the first and the last stretch of each block: its function from last fired before to last fired after.
+
+    `lasts[i]` holds for all values before that allow a start at `starts[i]` but at none earlier.
+    """
+
+    def function(times: np.ndarray) -> tuple[int, list[int], list[int]]:
+        n = len(times)
+        to = np.searchsorted(times, times + gap)
+        end = np.where(to < n, to, np.arange(n))
+        while not np.array_equal(further := end[end], end):  # doubles the steps taken
+            end = further
+        reach = min(int(to[0]), n - 1) + 1  # alerts that may be the first to fire
+        lasts, starts = times[end[:reach]], times[:reach]
+        keep = np.append(lasts[1:] != lasts[:-1], True)
+        return int(times[0]), starts[keep].tolist(), lasts[keep].tolist()
+
+    def records(batches):
+        at, held, begins = None, [], True
+        for block, key, times in _stretches(batches):
+            if at != (block, key):
+                ends = at is not None and at[0] != block
+                if held and (begins or ends):
+                    yield (*at[1], *function(np.concatenate(held)))
+                begins = at is None or ends
+                at, held = (block, key), []
+            held.append(times)
+        if held:
+            yield (*at[1], *function(np.concatenate(held)))
+
+    return lambda batches: _arrow_rows(records(batches), kind)
+
+
+def _compose(gap: int, n_keys: int, kind: StructType):
+    """What each stretch is handed, from the functions of its key in order."""
+
+    def records(batches):
+        key, last = None, None
+        for batch in batches:
+            for *its, first, starts, lasts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != (its,):
+                    key, last = (its,), None
+                yield (*its, first, last)
+                at = 0 if last is None else int(np.searchsorted(starts, last + gap))
+                last = lasts[at] if at < len(lasts) else last
+
+    return lambda batches: _arrow_rows(records(batches), kind)
+
+
+def _fire(gap: int, known: Broadcast, kind: StructType):
+    """Walk every stretch from what it was handed."""
+
+    def records(batches):
+        at, last = None, None
+        for block, key, times in _stretches(batches):
+            if at != (block, key):
+                within = at is not None and at[0] == block
+                # Only a block's first stretch can go on from an earlier one, and that one was handed a value.
+                last = None if within else known.value[key, int(times[0])]
+                at = (block, key)
+            i = 0 if last is None else int(np.searchsorted(times, last + gap))
+            while i < len(times):
+                last = int(times[i])
+                yield (*key, last)
+                i = int(np.searchsorted(times, last + gap))
+
+    return lambda batches: _arrow_rows(records(batches), kind)

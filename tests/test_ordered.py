@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -145,16 +146,34 @@ def brute_debounce(data, seconds):
     return fired
 
 
-@pytest.mark.parametrize(
-    "spread,seconds,max_session", [(3000, 10, 100_000), (3000, 10, 4), (300, 10, 100_000), (300, 10, 0), (100000, 10, 2), (900, 60, 100_000)]
-)
-def test_debounce(spark, spread, seconds, max_session):
+@pytest.mark.parametrize("spread,seconds", [(3000, 10), (300, 10), (100000, 10), (900, 60), (40, 100)])
+def test_debounce(spark, spread, seconds):
     data = [(k, s) for k, s, _, _ in skewed(500, seed=spread, spread=spread)]
     df = spark.createDataFrame(data, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
-    out = monitor.debounce(df, ["k"], "ts", seconds, max_session).select("k", F.unix_timestamp("ts"))
+    out = monitor.debounce(df, ["k"], "ts", seconds).select("k", F.unix_timestamp("ts"))
     assert sorted(tuple(r) for r in out.collect()) == sorted(brute_debounce(data, seconds))
 
 
+def test_debounce_of_keys_of_other_types(spark):
+    data = [(None if i % 5 == 0 else START + timedelta(days=i % 3), i % 2 == 0, 7 * i) for i in range(400)]
+    df = spark.createDataFrame(data, "k timestamp, flag boolean, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = monitor.debounce(df.withColumn("extra", F.lit(1)), ["k", "flag"], "ts", 100)
+    expected = brute_debounce([((str(k), flag), s) for k, flag, s in data], 100)
+    assert sorted((str(r["k"]), r["flag"], r["s"]) for r in out.withColumn("s", F.unix_timestamp("ts")).collect()) == sorted((*k, s) for k, s in expected)
+
+
+def test_debounce_of_one_long_session(spark):
+    """No gap anywhere: every block's alerts depend on the block before."""
+    rng, n = random.Random(4), 300_000
+    times, at = [], 0
+    for _ in range(n):
+        at += rng.choice((1, 1, 2, 3))
+        times.append(at)
+    df = spark.createDataFrame(pd.DataFrame({"s": times})).select(F.lit("k").alias("k"), F.timestamp_seconds("s").alias("ts")).repartition(16)
+    out = monitor.debounce(df, ["k"], "ts", 10).select(F.unix_timestamp("ts"))
+    assert sorted(r[0] for r in out.collect()) == sorted(s for _, s in brute_debounce([("k", s) for s in times], 10))
+
+
 def test_debounce_without_keys(spark):
     data = [("x", s) for _, s, _, _ in skewed(100, seed=9, spread=500)]
     df = spark.createDataFrame(data, "k string, s long").select(F.timestamp_seconds("s").alias("ts"))
