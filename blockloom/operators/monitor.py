@@ -13,13 +13,14 @@ from math import gcd
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from blockloom.functions.scalars import ratio
-from blockloom.operators.ordered import BLOCK, Running, exact_quantiles, rolling_rows, scan, to_blocks, trailing_range
+from blockloom.operators.ordered import BLOCK, Running, number_rows, rolling_rows, scan, to_blocks, trailing_range
+from blockloom.session import written
 
 # Default histogram bounds in seconds: fixed values.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, float("inf"))
@@ -168,11 +169,61 @@ def error_rate_alert(requests: DataFrame, ts: str = "ts", threshold: float = 0.1
 
 def p95_latency_alert(requests: DataFrame, ts: str = "ts", threshold: float = 2.0) -> DataFrame:
     """Exact 95th percentile of latency in 5-minute windows each minute."""
-    counted = sliding(requests, ["latency"], ts, {"_n": ("sum", F.lit(1))})
-    p95 = exact_quantiles(counted, ["window_end"], "latency", {"p95": 0.95}, weight=F.col("_n"))
+    p95 = window_quantile(requests, ts, "latency", 0.95, "p95")
     return sustained(p95, [], F.col("p95") > threshold)
 
 
+_TOP = 1 << 40  # bin of NaN; infinities lie just below and as far down
+
+
+def _bin(value: Column) -> Column:
+    """A number's bin: bins keep the order of numbers and are 1/64 of a power of e wide."""
+    size = F.abs(value)
+    depth = F.floor(F.log(F.when(size > 0, size)) * 64).cast("long") + F.lit(1 << 30)
+    finite = F.when(value == 0, F.lit(0)).when(value > 0, depth).otherwise(-depth)
+    infinite = F.when(value > 0, F.lit(_TOP - 1)).otherwise(F.lit(1 - _TOP))
+    return F.when(F.isnan(value), F.lit(_TOP)).when(size == float("inf"), infinite).otherwise(finite).cast("long")
+
+
+def window_quantile(samples: DataFrame, ts: str, value: str, quantile: float, name: str, minutes: int = 5, step: int = 1) -> DataFrame:
+    """Exact interpolated quantile of `value` in sliding windows: (window_end, `name`).
+
+    A first pass counts bins per minute, a sketch that merges by adding: its rows, not the log's, are spread over the
+    windows and tell in which bin each window's quantile lies and how far down. A second pass reads only samples of
+    such bins and finds the sample at that place by numbering them, without a group per value or per window.
+    """
+    number = samples.filter(F.col(value).isNotNull()).select(F.col(ts).alias("_ts"), F.col(value).cast("double").alias("_value"))
+    binned = number.withColumn("_bin", _bin(F.col("_value")))
+    sketch = sliding(binned, ["_bin"], "_ts", {"_n": ("sum", F.lit(1))}, minutes, step)
+
+    # The two neighbours of the quantile, by rank from 0; a window has at most as many rows here as bins.
+    below = Window.partitionBy("window_end").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sketch.withColumns({"_before": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("window_end"))})
+    at = F.lit(float(quantile)) * (F.col("_all") - 1)
+    inside = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    places = ranked.select(
+        "window_end",
+        "_bin",
+        (at - F.floor(at)).alias("_share"),
+        F.when(inside(F.floor(at)), F.floor(at) - F.col("_before")).alias("_low"),
+        F.when(inside(F.ceil(at)), F.ceil(at) - F.col("_before")).alias("_high"),
+    ).filter("_low IS NOT NULL OR _high IS NOT NULL")
+    places = written(places, "places")
+
+    # Samples of a wanted bin, for each window that wants it: at most two bins a window.
+    length = minutes * MINUTE
+    slot = gcd(minutes, step) * MINUTE
+    slots = F.sequence(F.col("window_end") - length, F.col("window_end") - slot, F.lit(slot).cast("long"))
+    wanted = places.select("window_end", "_bin", F.explode(slots).alias("_slot"))
+    rows = binned.select(_step("_ts", slot).alias("_slot"), "_bin", "_value").join(wanted, ["_slot", "_bin"])
+    numbered = number_rows(rows.select("window_end", "_bin", "_value"), ["window_end", "_bin"], ["_value"], "_place")
+    found = numbered.join(places, ["window_end", "_bin"])
+    pick = lambda rank: F.max(F.when(F.col("_place") - 1 == F.col(rank), F.col("_value")))
+    ends = found.groupBy("window_end").agg(pick("_low").alias("_a"), pick("_high").alias("_b"), F.max("_share").alias("_share"))
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")
+    return ends.select("window_end", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias(name))
+
+
 def request_rate(requests: DataFrame, ts: str = "ts", threshold: float = 1000.0) -> DataFrame:
     """Requests per second over 5 minutes, each minute."""
     counted = sliding(requests, [], ts, {"requests": ("sum", F.lit(1))})

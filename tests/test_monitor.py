@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -144,3 +146,26 @@ def test_sliding_windows_of_any_length_and_step(spark, minutes, step):
     ends = range(0, 4000, step * 60)
     want = {e: sum(e - minutes * 60 <= s < e for s in at) for e in ends}
     assert got == {e: n for e, n in want.items() if n}
+
+
+@pytest.mark.parametrize("quantile", [0.0, 0.5, 0.95, 1.0])
+def test_window_quantile_is_exact(spark, quantile):
+    rng = random.Random(12)
+    odd = [0.0, -0.0, -1.5, 1e-300, 1e300, float("inf"), float("-inf"), 2.0, 2.0, 2.0000000001, None]
+    data = [(rng.randrange(0, 2000), rng.choice(odd) if rng.random() < 0.3 else rng.lognormvariate(0, 0.02)) for _ in range(3000)]
+    df = spark.createDataFrame(data, "s long, v double").select(F.timestamp_seconds("s").alias("ts"), "v")
+    got = {r["window_end"]: r["q"] for r in monitor.window_quantile(df, "ts", "v", quantile, "q").collect()}
+    expected = {}
+    for end in range(60, 2401, 60):
+        values = sorted(v for s, v in data if end - 300 <= s < end and v is not None)
+        if values:
+            at = quantile * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            expected[end] = low if low == high else low + (high - low) * (at - math.floor(at))
+    assert got.keys() == expected.keys()
+    assert all(got[k] == expected[k] or math.isnan(got[k]) and math.isnan(expected[k]) for k in got)
+
+
+def test_window_quantile_of_nothing(spark):
+    df = spark.createDataFrame([], "ts timestamp, v double")
+    assert monitor.window_quantile(df, "ts", "v", 0.95, "q").collect() == []
