@@ -6,9 +6,6 @@ row-local expressions built from the schema; `missing_in_json` walks JSON text w
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,32 +106,48 @@ def _with_percentage(df: DataFrame) -> DataFrame:
     return df.withColumn("missing_percentage", F.coalesce(share, F.lit(0.0)))
 
 
-_COUNTS = T.StructType([T.StructField("missing_count", T.LongType()), T.StructField("missing_total", T.LongType())])
+_OBJECT, _LIST = "map<string, variant>", "array<variant>"
+
 
+def _deeper(df: DataFrame) -> DataFrame:
+    """One level of the walk: `_objects` are read, counted in, and replaced by the objects right below them.
 
-def _walk(record: dict) -> tuple[int, int]:
-    missing = total = 0
-    pending = [record]
-    while pending:
-        for value in pending.pop().values():
-            total += 1
-            if value is None or value == "":
-                missing += 1
-            elif isinstance(value, dict):
-                pending.append(value)
-            elif isinstance(value, list):
-                pending.extend(item for item in value if isinstance(item, dict))
-    return missing, total
+    Objects lie below others as values or as items of a list that is a value.
+    """
+    as_object, as_list = f"try_variant_get(x, '$', '{_OBJECT}')", f"try_variant_get(x, '$', '{_LIST}')"
+    values = "flatten(transform(_objects, o -> map_values(o)))"
+    sorted_out = f"transform({values}, x -> named_struct('object', {as_object}, 'list', {as_list}, 'value', x))"
+    empty = "is_variant_null(k.value) OR try_variant_get(k.value, '$', 'string') = ''"
+    listed = f"flatten(transform(filter(_values, k -> k.list IS NOT NULL), k -> transform(k.list, x -> {as_object})))"
+    return df.withColumn("_values", F.expr(sorted_out)).select(
+        *[c for c in df.columns if c not in ("_objects", "missing_count", "missing_total")],
+        F.expr(f"missing_count + size(filter(_values, k -> k.object IS NULL AND k.list IS NULL AND ({empty})))").alias("missing_count"),
+        F.expr("missing_total + size(_values)").alias("missing_total"),
+        F.expr(
+            f"concat(transform(filter(_values, k -> k.object IS NOT NULL), k -> k.object), filter({listed}, o -> o IS NOT NULL))"
+        ).alias("_objects"),
+    )
 
 
-@F.pandas_udf(_COUNTS)
-def _json_counts(body: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_walk(json.loads(text)) for text in body], columns=["missing_count", "missing_total"])
+def _walked(df: DataFrame, body: str, levels: int) -> DataFrame:
+    top = F.try_variant_get(F.try_parse_json(F.col(body)), "$", _OBJECT)
+    out = df.withColumns({"_objects": F.array_compact(F.array(top)), "missing_count": _zero(), "missing_total": _zero()})
+    for _ in range(levels):
+        out = _deeper(out)
+    return out
 
 
 def missing_in_json(df: DataFrame, body: str) -> DataFrame:
-    """The same counts for JSON objects with varying keys: an absent key is no field."""
-    return _with_percentage(df.withColumn("_counts", _json_counts(F.col(body))).select("*", "_counts.*").drop("_counts"))
+    """The same counts for JSON objects with varying keys: an absent key is no field.
+
+    Text that is null, broken or no object has no fields, and so nothing missing. The walk goes level by level,
+    within the row: how many levels the deepest text needs is found first.
+    """
+    levels = 4
+    # A maximum and not a filter, which would be pushed down through every level and multiply its expressions.
+    while _walked(df.select(body), body, levels).agg(F.max(F.size("_objects"))).first()[0]:
+        levels *= 2
+    return _with_percentage(_walked(df, body, levels).drop("_objects"))
 
 
 def type_flags_json(df: DataFrame, body: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import json
+import random
 from datetime import datetime
 
 import pytest
@@ -94,6 +96,47 @@ def test_absent_keys_are_no_fields(spark):
     assert got == [(2, 5, 40.0), (0, 0, 0.0)]
 
 
+def test_json_that_is_no_object_has_no_fields(spark):
+    texts = [None, "", "{", '{"a":', "[1]", '[{"a":null}]', "null", "3", '"x"', "nonsense"]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    assert [tuple(r)[1:] for r in quality.missing_in_json(df, "body").collect()] == [(0, 0, 0.0)] * len(texts)
+
+
+def test_json_walk_equals_a_recursive_one(spark):
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return [None, "", "x", 1.5, True][kind]
+        if kind < 7:
+            return {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+        return [value(depth - 1) for _ in range(rng.randrange(4))]
+
+    def count(record):
+        missing, total = sum(v in (None, "") for v in record.values()), len(record)
+        for v in record.values():
+            for inner in v if isinstance(v, list) else [v]:
+                if isinstance(inner, dict):
+                    more = count(inner)
+                    missing, total = missing + more[0], total + more[1]
+        return missing, total
+
+    chain = None
+    for _ in range(21):  # deeper than the first probe
+        chain = {"a": chain, "b": [{"c": ""}]}
+    records = [{f"k{i}": value(6) for i in range(5)} for _ in range(200)] + [chain]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, body string")
+    got = {r["id"]: (r["missing_count"], r["missing_total"]) for r in quality.missing_in_json(df, "body").collect()}
+    assert got == {i: count(r) for i, r in enumerate(records)}
+
+
+def test_json_walk_needs_no_python_worker(spark):
+    df = quality.missing_in_json(spark.createDataFrame([('{"a":1}',)], "body string"), "body")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_type_flags_of_json(spark):
     texts = ['{"timestamp":"t","blocks":[],"metrics":{}}', '{"timestamp":"t"}', '{"timestamp":1,"blocks":{},"metrics":"x"}', '{"blocks":null}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string")
