@@ -23,7 +23,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return _csv(spark.read, path, schema)
 
 
-def _csv(reader: DataFrameReader, path: str, schema: str | None) -> DataFrame:
+def _csv(reader: DataFrameReader, path: str | list[str], schema: str | None) -> DataFrame:
     reader = reader.option("header", True).option("enforceSchema", False)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
@@ -87,7 +87,8 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None, strict:
     """All .json, .jsonl and .csv files below `path` as one table.
 
     Without a schema the columns are those of the first file by name: extra columns of other
-    files are dropped, and missing ones are null, or an error when strict.
+    files are dropped, and missing ones are null. CSV files go by their own headers, so these may differ in names and
+    order. When strict, a record that lacks one of the columns is an error, as is one that is no JSON object.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
@@ -102,21 +103,23 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None, strict:
     if not found:
         raise ValueError(f"no data files below {path}")
 
-    parts = {}
+    first = min(found, key=found.get)
+    columns = READERS[first](spark, found[first], schema).columns
+    parts = []
     for suffix in suffixes:
         if suffix in found:
             any_case = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
-            reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{any_case}")
+            files = {"recursiveFileLookup": True, "pathGlobFilter": f"*{any_case}"}
             if suffix == ".csv":
-                parts[suffix] = _csv(reader, path, schema)
+                parts += [_csv(spark.read, group, schema) for group in _by_header(spark, path, files)]
             else:
-                frame = reader.option("multiLine", suffix == ".json")
-                parts[suffix] = (frame.schema(schema) if schema else frame).json(path)
+                if strict:
+                    _check_records(spark, path, files, columns, whole=suffix == ".json")
+                reader = spark.read.options(**files).option("multiLine", suffix == ".json")
+                parts.append((reader.schema(schema) if schema else reader).json(path))
 
-    first = min(found, key=found.get)
-    columns = READERS[first](spark, found[first], schema).columns
     merged = None
-    for frame in parts.values():
+    for frame in parts:
         missing = [c for c in columns if c not in frame.columns]
         if strict and missing:
             raise ValueError(f"records lack columns {missing}")
@@ -125,6 +128,28 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None, strict:
     return merged.select(*columns)
 
 
+def _by_header(spark: SparkSession, path: str, files: dict) -> list[list[str]]:
+    """Files below `path` grouped by their first line; the driver holds their names, as for any listing."""
+    lines = spark.read.options(**files).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    numbered = lines.withColumn("place", F.monotonically_increasing_id()).filter("file_block_start = 0")
+    first = numbered.groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("paths")).orderBy("paths")
+    return [row["paths"] for row in grouped.collect()]
+
+
+def _check_records(spark: SparkSession, path: str, files: dict, columns: list[str], whole: bool) -> None:
+    """An error unless every JSON record is an object with all `columns`; `whole` files hold one object or array each."""
+    text = spark.read.options(**files).option("wholetext", whole).text(path).filter(F.trim("value") != "")
+    parsed = text.select(F.try_parse_json("value").alias("v"))
+    if whole:
+        items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+        parsed = parsed.select(F.explode(items).alias("v"))
+    keys = F.map_keys(F.try_variant_get("v", "$", "map<string, variant>"))
+    whole_record = F.size(F.array_except(F.array(*map(F.lit, columns)), keys)) == 0
+    if not parsed.filter(~F.coalesce(whole_record, F.lit(False))).isEmpty():
+        raise ValueError(f"records lack some of the columns {columns}")
+
+
 def inventory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Files below `path`: path, name, dir, size and modification time. Contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)

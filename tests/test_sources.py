@@ -108,9 +108,32 @@ def test_csv_columns_go_by_name(spark, tmp_path):
     got = files.read_csv(spark, str(tmp_path / "a.csv"), "key int, name string, more double")
     assert [tuple(r) for r in got.collect()] == [(1, "a", None)]
     (tmp_path / "b.CSV").write_text("key,name\n2,b\n")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "c.csv").write_text("more,name,key\n5,c,3\n6,d,4\n")
     for schema in (None, "key int, name string"):
-        with pytest.raises(Exception, match="header"):
-            files.read_tree(spark, str(tmp_path), schema).collect()
+        got = files.read_tree(spark, str(tmp_path), schema, strict=True)
+        assert sorted(r["name"] + str(r["key"]) for r in got.collect()) == ["a1", "b2", "c3", "d4"]
+    (tmp_path / "d.csv").write_text("name\ne\n")
+    got = files.read_tree(spark, str(tmp_path), "key int, name string")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "e")]
+    with pytest.raises(ValueError, match="key"):
+        files.read_tree(spark, str(tmp_path), "key int, name string", strict=True)
+
+
+def test_strict_trees_check_every_record(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"key":1,"name":"a"}\n\n{"name":null,"key":2,"more":[]}\n')
+    (tmp_path / "b.json").write_text('[{"key":3,"name":"c"},\n {"key":4,"name":"d"}]')
+    (tmp_path / "c.json").write_text('{"key":5,\n"name":"e"}')
+    schema = "key int, name string"
+    assert files.read_tree(spark, str(tmp_path), schema, strict=True).count() == 5
+    for name, text in (("d.jsonl", '{"key":6}'), ("d.jsonl", "[1]"), ("d.jsonl", '{"key":'), ("e.json", '[{"key":6,"name":"f"},{"name":"g"}]'), ("e.json", "3")):
+        folder = tmp_path.parent / f"{tmp_path.name}-{name}-{len(text)}"
+        folder.mkdir()
+        (folder / name).write_text(text)
+        (folder / "a.jsonl").write_text('{"key":1,"name":"a"}\n')
+        with pytest.raises(ValueError):
+            files.read_tree(spark, str(folder), schema, strict=True)
+        files.read_tree(spark, str(folder), schema)
 
 
 def test_tree_reads_suffixes_of_any_case(spark, tmp_path):
