@@ -111,7 +111,11 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None, strict:
             any_case = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
             files = {"recursiveFileLookup": True, "pathGlobFilter": f"*{any_case}"}
             if suffix == ".csv":
-                parts += [_csv(spark.read, group, schema) for group in _by_header(spark, path, files)]
+                for header, group in _by_header(spark, path, files):
+                    lacking = [c for c in columns if c not in header]
+                    if strict and lacking:
+                        raise ValueError(f"records lack columns {lacking}")
+                    parts.append(_csv(spark.read, group, schema))
             else:
                 if strict:
                     _check_records(spark, path, files, columns, whole=suffix == ".json")
@@ -120,26 +124,23 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None, strict:
 
     merged = None
     for frame in parts:
-        missing = [c for c in columns if c not in frame.columns]
-        if strict and missing:
-            raise ValueError(f"records lack columns {missing}")
         kept = frame.select(*[c for c in columns if c in frame.columns])
         merged = kept if merged is None else merged.unionByName(kept, allowMissingColumns=True)
     return merged.select(*columns)
 
 
-def _by_header(spark: SparkSession, path: str, files: dict) -> list[list[str]]:
-    """Files below `path` grouped by their first line; the driver holds their names, as for any listing."""
+def _by_header(spark: SparkSession, path: str, files: dict) -> list[tuple[list[str], list[str]]]:
+    """Header and files of each group of CSV files with the same first line; the driver holds names, as for any listing."""
     lines = spark.read.options(**files).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     numbered = lines.withColumn("place", F.monotonically_increasing_id()).filter("file_block_start = 0")
     first = numbered.groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
     grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("paths")).orderBy("paths")
-    return [row["paths"] for row in grouped.collect()]
+    return [(spark.read.option("header", True).csv(row["paths"][0]).columns, row["paths"]) for row in grouped.collect()]
 
 
 def _check_records(spark: SparkSession, path: str, files: dict, columns: list[str], whole: bool) -> None:
     """An error unless every JSON record is an object with all `columns`; `whole` files hold one object or array each."""
-    text = spark.read.options(**files).option("wholetext", whole).text(path).filter(F.trim("value") != "")
+    text = spark.read.options(**files).text(path, wholetext=whole).filter(F.trim("value") != "")
     parsed = text.select(F.try_parse_json("value").alias("v"))
     if whole:
         items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
