@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.functions import amounts
 from blockloom.functions.scalars import cutoff, iso_date, percent, ratio
 from blockloom.operators.ordered import Running, as_of as as_of_lookup, exact_quantiles, scan
 
@@ -122,6 +123,35 @@ def amount_statistics(transactions: DataFrame, column: str) -> DataFrame:
     return exact_quantiles(transactions, [], column, {"median": 0.5}, moments=True).select("mean", "median", "max")
 
 
+def exact_amount_statistics(transactions: DataFrame, column: str, digits: int = 4) -> DataFrame:
+    """The same of amounts given as integer text, all results exact text: (total, mean, median, max).
+
+    What is no integer is left out. The median comes from running counts over the ordered amounts, as for numbers.
+    """
+    kept = transactions.select(amounts.canonical(F.col(column)).alias("_amount")).filter("_amount IS NOT NULL")
+    counts = kept.groupBy(F.length("_amount").alias("_digits"), "_amount").agg(F.count("*").alias("_n"))
+    ranked = scan(
+        counts,
+        [],
+        ["_digits", "_amount"],
+        [Running("_upto", "sum", F.col("_n")), Running("_from", "sum", F.col("_n"), backward=True)],
+    )
+    middle, before = (F.col("_upto") + F.col("_from") - F.col("_n") - 1) / 2, F.col("_upto") - F.col("_n")
+    pick = lambda rank: F.max(F.when((before <= rank) & (rank < F.col("_upto")), F.col("_amount")))
+    found = ranked.agg(
+        pick(F.floor(middle)).alias("_low"),
+        pick(F.ceil(middle)).alias("_high"),
+        F.max(amounts.order_of(F.col("_amount")))["text"].alias("max"),
+        amounts.limb_sums(F.col("_amount"), F.col("_n")).alias("_sums"),
+    )
+    return found.select(
+        amounts.total_text(F.col("_sums.sums")).alias("total"),
+        amounts.mean_text(F.col("_sums"), digits).alias("mean"),
+        amounts.between_text(F.col("_low"), F.col("_high"), F.lit(0.5), digits).alias("median"),
+        "max",
+    )
+
+
 def unique_addresses(transactions: DataFrame) -> DataFrame:
     """Distinct senders and receivers; a missing address counts as one value."""
 

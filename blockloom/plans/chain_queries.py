@@ -89,9 +89,23 @@ def _amounts(column: str) -> str:
         round(MEDIAN({column})::DOUBLE, 4) AS median, MAX({column})::DOUBLE AS max FROM eth"""
 
 
-@query("tx_value_stats", _amounts("value"), ("headers", "transactions"))
+def _exactly(scaled: str) -> str:
+    """Ten thousand times a number, as text with four digits."""
+    return f"({scaled}) // 10000 || '.' || lpad((({scaled}) % 10000)::VARCHAR, 4, '0')"
+
+
+@query(
+    "tx_value_stats",
+    f"""WITH {ETH_TX}, v AS (
+          SELECT value::HUGEINT AS value, row_number() OVER (ORDER BY value::HUGEINT) - 1 AS place, count(*) OVER () AS n FROM eth),
+        s AS (SELECT sum(value)::HUGEINT AS total, count(*)::HUGEINT AS n, max(value) AS most,
+          sum(CASE WHEN place IN ((n - 1) // 2, n // 2) THEN CASE WHEN n % 2 = 1 THEN 2 * value ELSE value END END)::HUGEINT AS twice FROM v)
+        SELECT total::VARCHAR AS total, {_exactly("(total * 20000 + n) // (2 * n)")} AS mean, {_exactly("twice * 5000")} AS median,
+          most::VARCHAR AS max FROM s""",
+    ("headers", "transactions"),
+)
 def _(t):
-    return chain.amount_statistics(chain.chain_transactions(t.transactions, t.headers, "ethereum", DAYS, AS_OF), "value").transform(rounded, "mean", "median")
+    return chain.exact_amount_statistics(chain.chain_transactions(t.transactions, t.headers, "ethereum", DAYS, AS_OF), "value")
 
 
 @query("tx_gas_stats", _amounts("gas"), ("headers", "transactions"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.session import configure
@@ -19,6 +19,11 @@ EVENTS_AS_OF = "2024-01-31 00:00:00"
 FIRST_CHAIN = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 
+def _address(key: str) -> Column:
+    """A key as an account address: 0x and forty hex digits."""
+    return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(key), 40, "0")))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
@@ -63,10 +68,11 @@ class Tables:
             F.col("l_orderkey").alias("block_height"),
             F.col("l_shipdate").cast("timestamp").alias("timestamp"),
             (F.col("l_returnflag") != "R").alias("success"),
-            F.col("l_suppkey").alias("from_address"),
-            F.col("l_partkey").alias("to_address"),
-            F.col("l_extendedprice").alias("value"),
-            F.col("l_quantity").alias("gas"),
+            _address("l_suppkey").alias("from_address"),
+            _address("l_partkey").alias("to_address"),
+            # Cents and sixteen digits more: amounts beyond 64 bits, few of them equal.
+            F.concat(F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.lpad(F.col("l_orderkey") * 7919, 16, "0")).alias("value"),
+            F.col("l_quantity").cast("bigint").alias("gas"),
         )
 
     @cached_property
@@ -362,7 +368,8 @@ CTES = {
     "transactions": """
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS transaction_hash,
                l_orderkey AS block_height, l_shipdate AS timestamp, l_returnflag <> 'R' AS success,
-               l_suppkey AS from_address, l_partkey AS to_address, l_extendedprice AS value, l_quantity AS gas
+               '0x' || lower(lpad(hex(l_suppkey), 40, '0')) AS from_address, '0x' || lower(lpad(hex(l_partkey), 40, '0')) AS to_address,
+               round(l_extendedprice * 100)::BIGINT::VARCHAR || lpad((l_orderkey * 7919)::VARCHAR, 16, '0') AS value, l_quantity::BIGINT AS gas
         FROM lineitem""",
     "samples": "SELECT event_id, ts, event_type AS series, value FROM events",
     "requests": """

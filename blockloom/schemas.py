@@ -7,9 +7,10 @@ BLOCKS = """
     timestamp timestamp, transaction_count bigint, gas_used double, gas_limit double, slot bigint
 """
 
+# Amounts are integers of any length, as text: see `functions.amounts`.
 TRANSACTIONS = """
     transaction_hash string, block_height bigint, timestamp timestamp, success boolean,
-    from_address bigint, to_address bigint, value double, gas double
+    from_address string, to_address string, value string, gas bigint
 """
 
 BLOCK_METRICS = "block_number bigint, metric_type string, value double, timestamp timestamp"

@@ -1,4 +1,6 @@
+import random
 from datetime import datetime
+from fractions import Fraction
 
 import pytest
 from conftest import rows
@@ -183,3 +185,19 @@ def test_a_deep_page_reads_one_or_two_blocks(spark):
         assert offset == 200_000 or not limit or 1 <= len(index.page(offset, limit).inputFiles()) <= 2
     assert index.page(0, 10**6).count() == 200_000
     assert block_source.PageIndex(numbers.limit(0), ["n"], 3).page(0, 10).collect() == []
+
+
+def test_amounts_of_any_length_are_exact(spark):
+    rng = random.Random(7)
+    for numbers in ([3 * 10**18, 2**255, 1, 0], [2**256 - 1] * 5 + [2**256 - 2], [7], [rng.randrange(2 ** rng.randrange(1, 280)) for _ in range(500)]):
+        texts = [rng.choice(("", "0", "000")) + str(v) for v in numbers] + [None, "", "x", "-1", "1.5"]
+        df = spark.createDataFrame([(t,) for t in texts], "value string")
+        got = chain.exact_amount_statistics(df, "value").first()
+        ordered = sorted(numbers)
+        middle = Fraction(ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2], 2)
+        shown = lambda f: f"{(f * 20000 + 1) // 2 // 10000}.{(f * 20000 + 1) // 2 % 10000:04d}"
+        assert tuple(got) == (str(sum(numbers)), shown(Fraction(sum(numbers), len(numbers))), shown(middle), str(ordered[-1]))
+    none = chain.exact_amount_statistics(spark.createDataFrame([("x",)], "value string"), "value").first()
+    assert tuple(none) == ("0", None, None, None)
+    with pytest.raises(Exception, match="digits"):
+        chain.exact_amount_statistics(spark.createDataFrame([("9" * 91,)], "value string"), "value").collect()
