@@ -69,10 +69,21 @@ def prepare_pairs(df: DataFrame, input_column: str, target_column: str | None =
     return df.select(*keys, source.alias("input"), target.alias("target")).filter(F.col("input").isNotNull())
 
 
-def token_ids(text: Column, vocabulary: int = 50_000) -> Column:
-    """Default tokenizer: whitespace words to hashed ids from 1 up; 0 is padding."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(vocabulary)) + 1).cast("int"))
+ID_DIGITS = 15  # hex digits of a word's id: 60 bits, so that different words share one by no practical chance
+
+
+def token_ids(text: Column, vocabulary: int | None = None) -> Column:
+    """Default tokenizer: whitespace words to ids from 1 up; 0 is padding.
+
+    An id is the start of the word's MD5, the same in every run and engine. A `vocabulary` folds ids into so many
+    numbers, and then words may share one.
+    """
+
+    def id_of(word: Column) -> Column:
+        found = F.conv(F.substring(F.md5(word.cast("binary")), 1, ID_DIGITS), 16, 10).cast("bigint")
+        return (found if vocabulary is None else F.pmod(found, F.lit(vocabulary))) + 1
+
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), id_of)
 
 
 def tokenize_pad(

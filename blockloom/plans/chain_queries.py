@@ -320,11 +320,14 @@ def _(t):
 
 @query(
     "slot_range_scan",
-    "SELECT slot, block_hash FROM headers WHERE blockchain = 'solana' AND slot BETWEEN 0 AND 1000000000",
+    """SELECT slot, block_hash FROM headers WHERE blockchain = 'solana'
+       AND slot BETWEEN 0 AND (SELECT max(slot) FROM headers WHERE blockchain = 'solana')""",
     ("headers",),
 )
 def _(t):
-    return block_source.slot_range(chain.select_chain(t.headers, "solana"), 0, 1_000_000_000).select("slot", "block_hash")
+    slots = chain.select_chain(t.headers, "solana")
+    newest = slots.agg(F.max("slot")).first()[0] or 0
+    return block_source.slot_range(slots, 0, newest).select("slot", "block_hash")
 
 
 @query(

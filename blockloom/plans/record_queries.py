@@ -11,6 +11,7 @@ from blockloom.plans.registry import query
 from blockloom.plans.standins import EVENTS_AS_OF
 from blockloom.schemas import RECORD_FIELDS
 from blockloom.sources import committed, payload
+from blockloom.sources.named import Sources
 
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -408,3 +409,29 @@ def _(t):
     return details.select(
         "doc_id", F.col("parentSlot").alias("number"), F.explode("transaction_details").alias("d")
     ).select("doc_id", "number", "d.signature", "d.success")
+
+
+@query(
+    "named_sources",
+    """SELECT 'orders' AS source, o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_totalprice >= 1000
+       UNION ALL SELECT 'customers', c_custkey, c_acctbal FROM customer UNION ALL SELECT 'refused', 0, count(*)::DOUBLE FROM lineitem""",
+)
+def _(t):
+    """Three registered sources, one of them with invalid rows, read by name and through views."""
+    known = Sources()
+    known.register("orders", lambda s, least=0: t.orders.filter(F.col("o_totalprice") >= least), lambda df: df["o_totalprice"] >= 0)
+    known.register("customers", lambda s, least=0: t.customer.filter(F.col("c_custkey") >= least), lambda df: df["c_custkey"].isNotNull())
+    broken = Sources()
+    broken.register("lines", lambda s: t.lineitem, lambda df: df["l_quantity"] < 1)
+    try:
+        broken.fetch("lines", t.spark)
+        refused = t.lineitem.limit(0)
+    except ValueError:
+        refused = t.lineitem
+    known.as_views(t.spark, least=0)
+    orders = known.fetch("orders", t.spark, least=1000).select(
+        F.lit("orders").alias("source"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount")
+    )
+    customers = t.spark.sql("SELECT 'customers' AS source, c_custkey AS id, c_acctbal AS amount FROM customers")
+    count = refused.agg(F.lit("refused").alias("source"), F.lit(0).cast("bigint").alias("id"), F.count("*").cast("double").alias("amount"))
+    return orders.unionByName(customers).unionByName(count)

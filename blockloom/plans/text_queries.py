@@ -50,24 +50,31 @@ def _pairs(t):
     return textprep.prepare_pairs(docs, "text", "goal", keys=("doc_id",))
 
 
-_WORDS = "len(list_filter(string_split_regex(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
+def _ids(text: str) -> str:
+    """The default tokenizer in SQL: at most 512 ids, padded with zeros."""
+    words = f"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')[1:512]"
+    return f"list_resize([('0x' || substr(md5(w), 1, 15))::BIGINT + 1 FOR w IN {words}], 512, 0)"
 
 
 @query(
     "tokenize_pad",
-    f"""SELECT doc_id, 512::BIGINT AS n_ids, 512::BIGINT AS n_labels, least({_WORDS}, 512)::BIGINT AS n_tokens,
-               least({_WORDS}, 512)::BIGINT AS n_attended, lang = 'en' AS copied FROM documents""",
+    f"""WITH i AS (SELECT doc_id, lang <> 'en' AND source <> '' AND source <> text AS differs, {_ids('text')} AS ids, {_ids('source')} AS goal
+          FROM documents),
+        l AS (SELECT *, CASE WHEN coalesce(differs, false) THEN goal ELSE ids END AS labels FROM i)
+        SELECT doc_id, len(ids)::BIGINT AS n_ids, len(labels)::BIGINT AS n_labels, len(list_filter(ids, lambda x: x <> 0))::BIGINT AS n_tokens,
+          array_to_string([CASE WHEN x <> 0 THEN 1 ELSE 0 END FOR x IN ids], '') AS mask, md5(array_to_string(ids, ',')) AS ids,
+          md5(array_to_string(labels, ',')) AS labels FROM l""",
 )
 def _(t):
     tokens = textprep.tokenize_pad(_pairs(t))
-    count = F.size(F.filter("input_ids", lambda i: i != 0)).cast("bigint")
     return tokens.select(
         "doc_id",
         F.size("input_ids").cast("bigint").alias("n_ids"),
         F.size("labels").cast("bigint").alias("n_labels"),
-        count.alias("n_tokens"),
-        F.aggregate("attention_mask", F.lit(0), lambda acc, m: acc + m).cast("bigint").alias("n_attended"),
-        (F.col("labels") == F.col("input_ids")).alias("copied"),
+        F.size(F.filter("input_ids", lambda i: i != 0)).cast("bigint").alias("n_tokens"),
+        F.array_join("attention_mask", "").alias("mask"),
+        F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids"),
+        F.md5(F.array_join("labels", ",").cast("binary")).alias("labels"),
     )
 
 
