@@ -40,19 +40,25 @@ CACHED_CHARS = 8 << 20  # characters of remembered chunks per Python worker; a f
 def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian 32-bit bytes, by the tokenizers library.
 
-    White space separates the words of such a vocabulary and is dropped, so the ids of a text are those of
-    its chunks between white space. Every different word is encoded once, many in one call; the
-    vocabulary's word ends tell their ids apart.
+    Where a vocabulary ignores case, marks the ends of words and drops white space between them, the ids of a text
+    are those of its chunks between white space: every different word is encoded once, many in one call, and
+    the word ends tell their ids apart. With any other vocabulary texts are encoded whole.
     """
     import numpy as np
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     tokenizer = Tokenizer.from_str(spec)
-    suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+    parts = json.loads(spec)
+    suffix = parts["model"].get("end_of_word_suffix")
+    if not suffix or "Lowercase" not in json.dumps(parts.get("normalizer")):
+
+        def whole(text: str) -> bytes:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+        return lambda texts: [whole(text) for text in texts]
     ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-    if suffix:
-        ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
     # Python also splits at these four separators, the library does not: such texts are encoded whole.
     odd = re.compile(r"[\x1c-\x1f]").search
     # The vocabulary ignores case and cuts letters from punctuation, so these share the ids of their parts.
@@ -104,19 +110,11 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-class SharedEncoder:
-    """An encoder to broadcast: each Python worker builds it once and keeps its words from task to task."""
-
-    def __init__(self, spec: str):
-        self.spec, self._encode = spec, None
-
-    def __getstate__(self):
-        return {"spec": self.spec, "_encode": None}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self._encode is None:
-            self._encode = encoder(self.spec)
-        return self._encode(texts)
+def shared_encoder(held: dict) -> Callable[[list[str]], list[bytes]]:
+    """The encoder of a broadcast {"spec": tokenizer file}: each Python worker builds it once and keeps its words."""
+    if "encode" not in held:
+        held["encode"] = encoder(held["spec"])
+    return held["encode"]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -180,11 +178,11 @@ def _in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def local_bins(docs: DataFrame, spec: str, capacity: int, end: int, id_col: str, text_col: str) -> DataFrame:
     """Bins of the pieces of `docs`, packed within each task: (used, members)."""
     narrow = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(SharedEncoder(spec))  # a vocabulary, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})  # a vocabulary, whatever the corpus
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = shared.value
+        encode = shared_encoder(shared.value)
         last = end.to_bytes(4, "little")
         step = 4 * capacity
         pieces: list[tuple] = []

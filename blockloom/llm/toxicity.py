@@ -185,10 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """(doc_id, expected_severity, grade) of every row of `docs` (doc_id, text)."""
     narrow = docs.select(quoted("doc_id").alias("doc_id"), quoted("text").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # at most BUCKETS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(shared.value)
+        score = scorer(OrdinalModel(*shared.value))
         for batch in slices(batches):
             found = [score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,7 @@
 """Token counts, packing, quality rules, toxicity and mixing against brute force, and their edge cases."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -97,6 +98,29 @@ def test_packing_round_trip(spark, sf, odd_docs):
     assert best_fit_packing(docs.limit(0), WORD_BPE).collect() == []
 
 
+def test_packing_with_a_vocabulary_that_keeps_white_space(spark, odd_docs):
+    lib = Tokenizer.from_file(BYTE_BPE)
+    packed = best_fit_packing(odd_docs, BYTE_BPE).collect()
+    want = Counter()
+    for r in odd_docs.collect():
+        ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for start in range(0, len(ids), CAPACITY):
+            want[r.doc_id, start, zlib.crc32(np.array(ids[start : start + CAPACITY], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.start, r.ids_crc32) for r in packed) == want
+
+
+def test_what_is_broadcast_needs_no_package(spark, odd_docs, monkeypatch):
+    """Broadcasts are pickled plainly: nothing of this package may be in them."""
+    sent = []
+    plain = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or plain(value))
+    best_fit_packing(odd_docs, WORD_BPE).count()
+    labels = odd_docs.filter("doc_id < 10").selectExpr("doc_id", "cast(doc_id % 3 as int) as grade")
+    severity(odd_docs, train(odd_docs, labels)).count()
+    token_counts(odd_docs, BYTE_BPE, 512).count()
+    assert len(sent) >= 4 and not any(b"blockloom" in value for value in sent)
+
+
 def test_best_fit_takes_the_tightest_bin():
     assert sorted(map(sorted, best_fit([6, 5, 4, 3, 2], 10))) == [[0, 2], [1, 3, 4]]
     assert best_fit([], 10) == []
