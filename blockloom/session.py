@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -100,10 +98,24 @@ def bucketed(df: DataFrame, name: str, buckets: int, by: str, order: list[str])
     return df.sparkSession.table(table)
 
 
-def release(since: int = 0) -> None:
-    """Remove the scratch tables made so far, or those after the first `since`. Frames that read them can no longer run."""
-    while len(_scratch) > since:
-        spark, path, table = _scratch.pop()
+def release() -> None:
+    """Remove the scratch tables made so far. Frames that read them can no longer run."""
+    remove(list(_scratch))
+
+
+def scratch_tables() -> list[tuple[SparkSession, str, str | None]]:
+    """The scratch tables there are, oldest first; `remove` takes any of them."""
+    return list(_scratch)
+
+
+def remove(tables: list[tuple[SparkSession, str, str | None]], unless_read_by: DataFrame | None = None) -> None:
+    """Remove some scratch tables, but not those that a frame reads."""
+    read = _paths_of(unless_read_by) if unless_read_by is not None else []
+    for entry in reversed(tables):
+        spark, path, table = entry
+        if entry not in _scratch or any(path in used for used in read):
+            continue
+        _scratch.remove(entry)
         try:
             if table:
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -113,11 +125,13 @@ def release(since: int = 0) -> None:
             return
 
 
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Remove at its end what was written within: for results that were saved elsewhere by then."""
-    since = len(_scratch)
-    try:
-        yield
-    finally:
-        release(since)
+def _paths_of(df: DataFrame) -> list[str]:
+    """Folders and files that a frame scans."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    relations = [leaves.apply(i) for i in range(leaves.size())]
+    found = []
+    for leaf in relations:
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            roots = leaf.relation().location().rootPaths()
+            found += [roots.apply(i).toString() for i in range(roots.size())]
+    return found
