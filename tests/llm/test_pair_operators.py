@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
+from blockloom.llm import line_dedup
 from blockloom.llm.components import connected
 from blockloom.llm.line_dedup import dedup_lines, line_duplicates
 from blockloom.llm.near_dedup import BINS, near_duplicates, one_of_each, sketch
@@ -308,6 +309,23 @@ def test_recall_against_edit_similarity_alone(spark):
     assert linked <= {i for at in similar.values() for i in at}
 
 
+def test_keys_of_lines_do_not_depend_on_the_size_of_the_input(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "\n".join(" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in range(5, 40))
+    keys = []
+    for size in (1, 200 << 30):
+        monkeypatch.setattr(line_dedup, "stored_size", lambda df, size=size: size, raising=False)
+        keys.append({r.pos: r["keys"] for r in line_dedup._lines(frame(spark, [(1, text)])).collect()})
+    assert keys[0] == keys[1] and len(keys[0]) == 35
+
+
+def test_lines_without_common_words_do_not_meet(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(" ".join(f"{rng.getrandbits(40):x}" for _ in range(8)) for _ in range(100))) for i in range(200)]
+    lines = line_dedup._lines(frame(spark, rows))
+    assert lines.count() == 20_000 and line_dedup._candidates(line_dedup._classes(lines)).isEmpty()
+
+
 def test_words_of_a_line_are_counted_after_normalising(spark):
     rng = random.Random(12)
     short = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(200))
