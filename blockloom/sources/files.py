@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -220,21 +220,63 @@ def valid_zone(category: Column, subcategory: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+#: Spark's line reader unpacks files with these endings and so reads each in one task.
+_PACKED = r"\.(gz|bz2|deflate|zst|lz4|snappy)$"
+
+
+_SOURCE = "_metadata.file_path"
+
+
+def _runs(spark: SparkSession, path: str) -> DataFrame:
+    """(source, start, id, value): the bytes between line feeds of all files but packed ones, numbered in each block."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, lineSep="\n").filter(~F.col(_SOURCE).rlike(_PACKED))
+    start = F.col("_metadata.file_block_start").alias("start")
+    return text.select(F.col(_SOURCE).alias("source"), start, F.monotonically_increasing_id().alias("id"), "value")
+
+
+def _file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(dir, name, size, lanes) of every file below `path`, by its content; no file is held whole.
+
+    A file is read as the runs of bytes between line feeds, of which Spark deals any number of blocks to tasks. Each run
+    is hashed with its place in the file, and the hashes are added up as numbers; with the size, the runs tell the
+    content. A run's place is its number in its block after all runs of the blocks before.
+    """
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listing = whole.select(F.col(_SOURCE).alias("source"), "path", F.col("length").alias("size"))
+    packed = whole.filter(F.col(_SOURCE).rlike(_PACKED)).select(F.col(_SOURCE).alias("source"), F.sha2("content", 256).alias("h"))
+    # A scan numbers its rows alike whatever columns it reads: by task and place, and a block lies in one task.
+    runs = _runs(spark, path)
+    blocks = runs.groupBy("source", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("start")) - F.col("n")
+    blocks = blocks.select(F.col("source").alias("of"), F.col("start").alias("block"), (before - F.col("first")).alias("shift"))
+    placed = runs.join(F.broadcast(blocks), (F.col("source") == F.col("of")) & (F.col("start") == F.col("block")))
+    numbered = F.concat(F.col("value").cast("binary"), F.concat(F.lit("\n"), F.col("id") + F.col("shift")).cast("binary"))
+    hashes = placed.select("source", F.sha2(numbered, 256).alias("h"))
+    added = hashes.unionByName(packed).groupBy("source").agg(F.count("*").alias("runs"), *_lanes("h"))
+    found = listing.join(added, "source", "left")
+    return found.select(parent_dir(F.col("path")).alias("dir"), file_name(F.col("path")).alias("name"), "size", "runs", *_LANES)
+
+
+_LANES = [f"lane_{i}" for i in range(5)]
+
+
+def _lanes(hashes: str) -> list[Column]:
+    """The sums of five parts of hashes in hex, as text."""
+    part = lambda i: F.conv(F.substring(hashes, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")
+    return [F.sum(part(i)).cast("string").alias(name) for i, name in enumerate(_LANES)]
+
+
 def directory_hash(spark: SparkSession, path: str) -> DataFrame:
     """One content hash per directory.
 
-    Each file is hashed where it is read; file hashes are added up as numbers, so a directory of
-    any size combines map-side and the result does not depend on listing order.
+    Files are hashed block by block where they are read, and what is hashed is added up as numbers: files and directories
+    of any size combine map-side, and the result depends neither on listing order nor on how files are dealt to
+    tasks. Compressed files (.gz and the like) are the exception: each is hashed as a whole by one task.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    entry = F.sha2(F.concat(F.unhex(F.sha2("content", 256)), file_name(F.col("path")).cast("binary")), 256)
-    hashed = files.select(parent_dir(F.col("path")).alias("dir"), entry.alias("h"))
-    lanes = [
-        F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(5)
-    ]
-    return hashed.groupBy("dir").agg(
-        F.count("*").alias("files"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *lanes), 256).alias("hash")
-    )
+    content = F.concat_ws("|", "size", F.coalesce("runs", F.lit(0)), *_LANES)
+    entries = _file_hashes(spark, path).select("dir", F.sha2(F.concat_ws("|", content, "name").cast("binary"), 256).alias("h"))
+    added = entries.groupBy("dir").agg(F.count("*").alias("files"), *_lanes("h"))
+    return added.select("dir", "files", F.sha2(F.concat_ws("|", "files", *_LANES).cast("binary"), 256).alias("hash"))
 
 
 def table_sizes(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from conftest import rows
@@ -78,6 +79,33 @@ def test_directory_hash_follows_content(spark, tree):
     assert {k for k in before if before[k] != after[k]} == {"c"}
 
 
+def test_directory_hash_reads_files_in_blocks(spark, tmp_path):
+    """Every byte and its place count, whatever the blocks; no task reads a file of several blocks whole."""
+    rng = random.Random(5)
+    content = bytearray(rng.randbytes(300_000))
+    variants = {"same": content, "more": content + b"\n", "bom": b"\xef\xbb\xbf" + content, "zeros": bytes(1000), "fewer": bytes(999)}
+    lines = bytes(content).split(b"\n")
+    variants["swapped"] = b"\n".join([*lines[:-2], lines[-1], lines[-2]])
+    variants["cr"] = bytes(content).replace(b"\r", b"\n")
+    variants |= {"feed": b"\n", "feeds": b"\n\n", "late": b"a\n\n", "early": b"\na\n", "packed": b"no gzip"}
+    for name, body in {**variants, "again": content}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / ("part.gz" if name == "packed" else "part.bin")).write_bytes(body)
+
+    def hashes():
+        return {os.path.basename(r["dir"]): r["hash"] for r in files.directory_hash(spark, str(tmp_path)).collect()}
+
+    whole = hashes()
+    assert whole["again"] == whole["same"] and len(whole) == len(variants) + 1 and len(set(whole.values())) == len(variants)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert hashes() == whole
+        assert files._runs(spark, str(tmp_path / "same")).rdd.getNumPartitions() >= 15
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_zones(spark):
     df = spark.createDataFrame([("x/raw/sensors/a",), ("raw/external/b",), ("x/models/artifacts/c",)], "path string")
     assert files.in_zone(df, "raw").count() == 2 and files.in_zone(df, "raw", "sensors").count() == 1
