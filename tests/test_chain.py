@@ -88,6 +88,21 @@ def test_addresses(spark):
     assert pairs == [(1, 2, 1)]
 
 
+def test_transactions_are_not_sorted_to_find_their_blocks(spark):
+    """A task holds its share of the blocks' numbers, not of the transactions."""
+    at = datetime(2024, 6, 1)
+    blocks = spark.createDataFrame([("ethereum", i, at) for i in range(50)] + [("solana", 50, at)], "blockchain string, block_number long, timestamp timestamp")
+    tx = spark.createDataFrame([(i % 60, f"a{i % 7}" if i % 7 else None, f"b{i % 11}", at) for i in range(600)], "block_height long, from_address string, to_address string, timestamp timestamp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = chain.unique_addresses(chain.chain_transactions(tx, blocks, "ethereum", 30, "2024-06-02"))
+        assert rows(found) == [(7, 11)]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_amounts_and_success(spark):
     tx = spark.createDataFrame([(1.0, True), (2.0, False), (4.5, True), (10.0, True)], "value double, success boolean")
     assert rows(chain.amount_statistics(tx, "value")) == [(4.375, 3.25, 10.0)]
