@@ -326,6 +326,12 @@ def test_lines_without_common_words_do_not_meet(spark):
     assert lines.count() == 20_000 and line_dedup._candidates(line_dedup._classes(lines)).isEmpty()
 
 
+def test_pairs_of_lines_are_dealt_by_their_number(spark):
+    pairs = spark.range(12_000, numPartitions=1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    dealt = line_dedup._dealt(pairs)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.exceptAll(pairs).isEmpty() and dealt.count() == 12_000
+
+
 def test_words_of_a_line_are_counted_after_normalising(spark):
     rng = random.Random(12)
     short = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(200))
