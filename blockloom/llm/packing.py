@@ -34,7 +34,7 @@ NEARLY_FULL = 8  # tokens of room at most
 ITEMS_PER_TASK = 50_000
 LEAST_GAIN = 0.001  # a round that saves a smaller share of its bins is the last
 MEMBER = ["doc_id", "piece", "start", "length", "ids_crc32", "offset"]
-CACHED_CHARS = 8 << 20  # characters of remembered chunks per Python worker; a full cache is emptied
+CACHED_CHARS = 2 << 20  # characters of chunks, and of their parts, learnt per Python worker before older ones are forgotten
 
 
 def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
@@ -63,8 +63,8 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     odd = re.compile(r"[\x1c-\x1f]").search
     # The vocabulary ignores case and cuts letters from punctuation, so these share the ids of their parts.
     plain_word = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
-    of_chunk: dict[str, bytes] = {}
-    of_part: dict[str, bytes] = {}
+    ids: dict[str, bytes] = {}  # of chunks, and of parts: a part alone is a chunk with the same ids
+    older: dict[str, bytes] = {}  # of those learnt before; what is met again moves over, the rest is forgotten
     kept_chars = 0
 
     def ids_of(text: str) -> bytes:
@@ -78,33 +78,38 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
             raw = ids_of(" ".join(some))
             ends = (np.flatnonzero(ends_word[np.frombuffer(raw, "<u4")]) * 4 + 4).tolist()
             if len(ends) == len(some):
-                of_part.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                ids.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
-                of_part.update((part, ids_of(part)) for part in some)
+                ids.update((part, ids_of(part)) for part in some)
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def unknown(words: set[str]) -> set[str]:
+        """Those that were never met or are forgotten."""
         nonlocal kept_chars
+        words = words.difference(ids)
+        kept_chars += sum(map(len, words))
+        met = [word for word in words if word in older]
+        ids.update(zip(met, map(older.__getitem__, met), strict=True))
+        return words.difference(met)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal ids, older, kept_chars
         found = [None if odd(text) else text.split() for text in texts]
-        fresh = set().union(*(chunks for chunks in found if chunks)).difference(of_chunk)
         split = {}
-        for chunk in fresh:
-            kept_chars += len(chunk)
+        for chunk in unknown(set().union(*(chunks for chunks in found if chunks))):
             match = plain_word(chunk)
             if match:
                 split[chunk] = (match[1].lower(), match[2])
             else:
-                of_chunk[chunk] = ids_of(chunk)
-        learn(list({part for pair in split.values() for part in pair if part}.difference(of_part)))
+                ids[chunk] = ids_of(chunk)
+        learn(list(unknown({part for pair in split.values() for part in pair if part})))
         for chunk, (head, tail) in split.items():
-            of_chunk[chunk] = of_part[head] + of_part[tail] if tail else of_part[head]
+            ids[chunk] = ids[head] + ids[tail] if tail else ids[head]
         out = [
-            ids_of(text) if chunks is None else b"".join(map(of_chunk.__getitem__, chunks))
+            ids_of(text) if chunks is None else b"".join(map(ids.__getitem__, chunks))
             for text, chunks in zip(texts, found, strict=True)
         ]
         if kept_chars > CACHED_CHARS:
-            of_chunk.clear()
-            of_part.clear()
-            kept_chars = 0
+            ids, older, kept_chars = {}, ids, 0
         return out
 
     return encode

@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from blockloom.llm.mixing import SCHEDULES, mixed, mixing
-from blockloom.llm.packing import CAPACITY, best_fit, best_fit_packing
+from blockloom.llm.packing import CAPACITY, best_fit, best_fit_packing, encoder
 from blockloom.llm.quality_rules import keep_good, quality_rules, text_counts
 from blockloom.llm.token_counts import counter, load_merges, token_counts
 from blockloom.llm.toxicity import severity, train
@@ -98,6 +98,19 @@ def test_packing_round_trip(spark, sf, odd_docs):
     assert best_fit_packing(docs.limit(0), WORD_BPE).collect() == []
 
 
+def test_the_encoder_remembers_a_bounded_number_of_words():
+    with open(WORD_BPE, encoding="utf-8") as file:
+        encode = encoder(file.read())
+    rng = random.Random(6)
+    often = "The often-met words, of every text. "
+    first = encode([often])
+    for _ in range(30):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(20_000)]
+        assert encode([often + " ".join(words), often])[1] == first[0]
+    held = [cell.cell_contents for cell in encode.__closure__ if isinstance(cell.cell_contents, dict)]
+    assert 0 < sum(len(word) for words in held for word in words) < 5 << 20
+
+
 def test_packing_with_a_vocabulary_that_keeps_white_space(spark, odd_docs):
     lib = Tokenizer.from_file(BYTE_BPE)
     packed = best_fit_packing(odd_docs, BYTE_BPE).collect()
