@@ -332,6 +332,13 @@ def test_pairs_of_lines_are_dealt_by_their_number(spark):
     assert dealt.rdd.getNumPartitions() == 3 and dealt.exceptAll(pairs).isEmpty() and dealt.count() == 12_000
 
 
+def test_only_wanted_lines_and_few_others_are_shuffled(spark):
+    rows = spark.range(200_000).select("id", F.xxhash64("id").alias("number"))
+    wanted = rows.filter("id % 100 = 7").withColumnRenamed("number", "of")
+    got = {r.id for r in line_dedup._only(rows, F.col("number"), wanted, F.col("of")).collect()}
+    assert got >= set(range(7, 200_000, 100)) and len(got) < 2_200
+
+
 def test_words_of_a_line_are_counted_after_normalising(spark):
     rng = random.Random(12)
     short = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(200))
